@@ -34,10 +34,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial in its bytes, by position from its start, then mixed."""
+def word_hashes(raw: bytes, letters: np.ndarray = ~_SPACE, stem: int | None = None) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial in its bytes, by position from its start, then mixed.
+
+    letters: which bytes words consist of. stem: hash only so many leading bytes of each.
+    """
     data = _LOWER[np.frombuffer(raw, np.uint8)]
-    inside = ~_SPACE[data]
+    inside = letters[data]
     if not inside.any():
         return np.zeros(0, np.uint64)
     first = inside.copy()
@@ -46,6 +49,9 @@ def word_hashes(raw: bytes) -> np.ndarray:
     at = np.flatnonzero(inside)
     word = np.cumsum(first)[at] - 1
     place = at - starts[word]
+    if stem is not None:
+        near = place < stem
+        at, place = at[near], place[near]
     power = np.full(int(place.max()) + 1, SPREAD, np.uint64)
     power[0] = 1
     power = np.cumprod(power, dtype=np.uint64)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, mixing, simhash_dedup
+from . import chat_format, embedding_dedup, fingerprint, mixing, pii, quality, simhash_dedup, toxicity
 
 
 def _pipeline(spark, sf_dir):
@@ -13,7 +13,12 @@ def _pipeline(spark, sf_dir):
 
 QUERIES = {
     "op1_pareto_mixing": mixing.op1_pareto_mixing,
+    "op2_fingerprints": fingerprint.op2_fingerprints,
+    "op3_pii": pii.op3_pii,
     "op5_embedding_dedup": embedding_dedup.op5_embedding_dedup,
+    "op6_chat_format": chat_format.op6_chat_format,
+    "op7_quality": quality.op7_quality,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
 }
 
