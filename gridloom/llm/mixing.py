@@ -61,6 +61,22 @@ def chance(key: Column) -> Column:
     return (F.conv(F.substring(F.md5(key.cast("string")), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
 
 
+def repeated(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
+    """docs with every row as often as the mix takes it; the columns of docs stay.
+
+    Rows that agree in id, source and size are taken alike. Of documents without words,
+    which no target speaks of, one copy stays.
+    """
+    key = [F.col("doc_id"), F.col("source"), word_count(whole_text()).alias("_size")]
+    copies = mix_copies(docs, weights, most).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies"))
+    hashed = F.xxhash64("doc_id", F.coalesce(F.col("source"), F.lit("")), F.col("source").isNull())
+    left = docs.select("*", key[2]).withColumn("_key", hashed)
+    right = copies.select(hashed.alias("_key"), F.col("size").alias("_size"), F.when(F.col("size") == 0, 1).otherwise(F.col("_copies")).cast("int").alias("_copies"))
+    right = right.groupBy("_key", "_size").agg(F.max("_copies").alias("_copies"))
+    joined = left.join(right, ["_key", "_size"]).where("_copies > 0")
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
 def mix_copies(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
     """One row per document: (doc_id, source, size, source_size, target, copies, taken).
 

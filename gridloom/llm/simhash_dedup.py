@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import discard, materialize, read_table, union_pairs
+from ._base import materialize, read_table, union_pairs
 from .components import connected_components
 
 SAMPLE = 8192  #: distinct fingerprints at most that the trees are fitted on
@@ -154,6 +154,13 @@ def hamming_forest(fps: DataFrame, radius: int = 4, blocks: int = 4, leaf: int =
     return visits.groupBy("shard").applyInPandas(join, "a long, b long")
 
 
+def components_of(classes: DataFrame, radius: int) -> DataFrame:
+    """(fp, root) of every fingerprint in classes; root names its component of links."""
+    edges = materialize(hamming_forest(classes.select("fp"), radius), "links")
+    member = connected_components(edges).withColumnRenamed("node", "fp")
+    return classes.select("fp").join(member, "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """Every row of docs as (doc_id, fp, component_id): its fingerprint and the smallest doc_id its links reach.
 
@@ -164,15 +171,41 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4) -> Data
     """
     marked = materialize(fingerprints(docs, words), "fingerprints")
     classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    edges = materialize(hamming_forest(classes.select("fp"), radius), "links")
-    member = connected_components(edges).withColumnRenamed("node", "fp")
-    grouped = classes.join(member, "fp", "left").withColumn("root", F.coalesce("component", "fp"))
+    grouped = components_of(classes, radius).join(classes, "fp")
     least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = materialize(grouped.select("fp", "root").join(least, "root").select("fp", "component_id"), "named")
-    discard(edges)
+    named = materialize(grouped.join(least, "root").select("fp", "component_id"), "named")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def deduplicated(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
+    """One row of each group of near copies: that of the smallest doc_id; all columns of docs stay.
+
+    Texts without words are one group. Null ids come last; of rows that agree in their id
+    the first written one stays. Links join fingerprints of word shingles within the
+    radius, which for long texts means a shingle similarity well above 0.8.
+    """
+    names = docs.columns
+    fp = F.pandas_udf(_fingerprint_series(words), "long")
+    tagged = docs.select(*names, fp(F.col("text")).alias("_fp"), F.monotonically_increasing_id().alias("_row"))
+    tagged = materialize(tagged, "tagged")
+    first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_row").alias("r"))
+    slim = tagged.select(F.col("_fp").alias("fp"), first.alias("who"))
+    classes = materialize(slim.groupBy("fp").agg(F.min("who").alias("who")), "classes")
+    grouped = materialize(components_of(classes, radius).join(classes, "fp"), "grouped")
+    best = grouped.groupBy("root").agg(F.min("who").alias("best"))
+    stays = grouped.join(best, "root").select("fp", F.col("best.r").alias("stays"))
+    gone = slim.join(stays, "fp").where("who.r <> stays").select(F.col("who.r").alias("_row"))
+    return tagged.join(gone, "_row", "left_anti").select(*names)
+
+
+def _fingerprint_series(words: int):
+    def run(text: pd.Series) -> pd.Series:
+        fp = np.array([shingle_fingerprint(t, words) for t in text], np.uint64)
+        return pd.Series(fp.view(np.int64))
+
+    return run
+
+
 def op9_simhash_dedup(spark, sf_dir: str) -> DataFrame:
     """Query: (doc_id, fingerprint, component_id) of every document."""
     found = simhash_components(read_table(spark, sf_dir, "documents"))
