@@ -1,0 +1 @@
+"""operators of the raster and tile engine."""

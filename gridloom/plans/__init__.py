@@ -1,0 +1 @@
+"""plans of the raster and tile engine."""

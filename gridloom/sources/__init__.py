@@ -1,0 +1 @@
+"""sources of the raster and tile engine."""

@@ -1,0 +1 @@
+"""streaming of the raster and tile engine."""
