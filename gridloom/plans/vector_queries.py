@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from gridloom.functions import text as T
@@ -159,3 +161,36 @@ def cross_links(spark, sf):
 def gate_agreement(spark, sf):
     j = V.table(spark, sf, "customer").select(F.col("c_nationkey").alias("input"), (F.col("c_custkey") % 2).alias("gate"))
     return j.groupBy("input").agg((F.min("gate") == F.max("gate")).alias("agreed"), F.count(F.lit(1)).alias("jobs"))
+
+
+@query()
+def probe_facts(spark, sf):
+    """Header facts of small TIFF files made from suppliers; every fifth is cut short."""
+    from gridloom.runtime import ship_package
+    from gridloom.sources import readers, tiff
+
+    ship_package(spark)
+
+    @F.pandas_udf("binary")
+    def made(key: pd.Series) -> pd.Series:
+        def one(k: int) -> bytes:
+            grid = ((np.arange(48 * 40) * (k + 3)) % 251).astype(np.uint8).reshape(40, 48)
+            raw = tiff.write_tiled(grid, 16, [k, 0.25, 0, 50, 0, -0.25], "0", (grid[::4, ::4],))
+            return raw[:20] if k % 5 == 0 else raw
+
+        return key.map(one)
+
+    s = V.table(spark, sf, "supplier")
+    return readers.probe(s.select(F.format_string("raster_%d.tif", "s_suppkey").alias("path"), made("s_suppkey").alias("content")))
+
+
+@query("WITH g AS (SELECT c_custkey AS id, CAST(c_custkey * 37 % 360 - 180 + 0.125 AS DOUBLE) AS lon, CAST(c_custkey * 17 % 160 - 80 + 0.25 AS DOUBLE) AS lat FROM customer) SELECT id, round(6378137.0::DOUBLE * radians(lon), 3) AS east, round(6378137.0::DOUBLE * ln(tan(pi() / 4 + radians(lat) / 2)), 3) AS north FROM g")
+def projected_mercator(spark, sf):
+    from gridloom.functions.projections import projected
+    from gridloom.runtime import ship_package
+
+    ship_package(spark)
+    k = F.col("c_custkey")
+    c = V.table(spark, sf, "customer").select(k.alias("id"), (k * 37 % 360 - 180 + 0.125).cast("double").alias("lon"), (k * 17 % 160 - 80 + 0.25).cast("double").alias("lat"))
+    p = c.select("id", projected(F.col("lon"), F.col("lat"), 3857).alias("p"))
+    return p.select("id", F.round("p.east", 3).alias("east"), F.round("p.north", 3).alias("north"))
