@@ -42,8 +42,8 @@ def lzw_encode(data):
         put(table[cur])
         table[nxt] = size
         size += 1
-        width = 9 + (size > 510) + (size > 1022) + (size > 2046)
-        if size > 4090:
+        width = 9 + (size > 511) + (size > 1023) + (size > 2047)
+        if size > 4094:
             put(256)
             table, size, width = {bytes([i]): i for i in range(256)}, 258, 9
         cur = bytes([b])
