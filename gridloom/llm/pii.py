@@ -220,10 +220,11 @@ def find_spans(docs: DataFrame, weights: np.ndarray, cut: float = 0.5) -> DataFr
     """docs with `base` and `spans`: base spans, and those with the added ones, by start, then kind.
 
     Spans are structs (kind, start, end) in code points, end exclusive; kind indexes
-    KINDS. A null text has no spans. Other columns stay; clashing names are the caller's.
-    An added span overlaps no base span and no added span before it.
+    KINDS. A null text has no spans. Other columns stay, but for earlier ones named base
+    or spans. An added span overlaps no base span and no added span before it.
     """
-    docs = candidates(docs.withColumn("_text", whole_text()), "_text")
+    names = [c for c in docs.columns if c not in ("base", "spans")]
+    docs = candidates(docs.select(F.struct(*names).alias("row"), whole_text().alias("_text")), "_text")
     limit = float(np.log(cut / (1 - cut)))
     good = F.filter(F.transform("more", lambda x: _voted("_text", x)), lambda x: _logit(x, weights) >= limit)
     slim = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
@@ -240,7 +241,7 @@ def find_spans(docs: DataFrame, weights: np.ndarray, cut: float = 0.5) -> DataFr
     docs = docs.withColumn("_added", first)
     order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"])
     both = F.when(F.size("_added") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", "_added"), order))
-    return docs.withColumn("spans", both).drop("more", "_added", "_text")
+    return docs.select("row.*", "base", both.alias("spans"))
 
 
 def span_list(col: str) -> Column:

@@ -184,18 +184,17 @@ def deduplicated(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
     the first written one stays. Links join fingerprints of word shingles within the
     radius, which for long texts means a shingle similarity well above 0.8.
     """
-    names = docs.columns
     fp = F.pandas_udf(_fingerprint_series(words), "long")
-    tagged = docs.select(*names, fp(F.col("text")).alias("_fp"), F.monotonically_increasing_id().alias("_row"))
+    tagged = docs.select(F.struct(*docs.columns).alias("doc"), fp(F.col("text")).alias("fp"), F.monotonically_increasing_id().alias("row"))
     tagged = materialize(tagged, "tagged")
-    first = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("_row").alias("r"))
-    slim = tagged.select(F.col("_fp").alias("fp"), first.alias("who"))
+    first = F.struct(F.col("doc.doc_id").isNull().alias("n"), F.col("doc.doc_id").alias("d"), F.col("row").alias("r"))
+    slim = tagged.select("fp", first.alias("who"))
     classes = materialize(slim.groupBy("fp").agg(F.min("who").alias("who")), "classes")
     grouped = materialize(components_of(classes, radius).join(classes, "fp"), "grouped")
     best = grouped.groupBy("root").agg(F.min("who").alias("best"))
     stays = grouped.join(best, "root").select("fp", F.col("best.r").alias("stays"))
-    gone = slim.join(stays, "fp").where("who.r <> stays").select(F.col("who.r").alias("_row"))
-    return tagged.join(gone, "_row", "left_anti").select(*names)
+    gone = slim.join(stays, "fp").where("who.r <> stays").select(F.col("who.r").alias("row"))
+    return tagged.join(gone, "row", "left_anti").select("doc.*")
 
 
 def _fingerprint_series(words: int):
