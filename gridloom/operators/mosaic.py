@@ -130,3 +130,26 @@ def retiled(cells: DataFrame, tile: int) -> DataFrame:
     at = lambda c: F.floor(F.col(c) / tile)
     grouped = cells.groupBy(at("x").alias("tx"), at("y").alias("ty")).agg(F.count_if(F.col("raw") != 0).alias("n"), F.sum("raw").cast("bigint").alias("total"), F.max("raw").alias("high"))
     return grouped.where("high > 0").drop("high")
+
+
+def on_master_grid(cells: DataFrame, rasters: DataFrame, grid: DataFrame) -> DataFrame:
+    """(src, x, y, raw): source cells on the master grid, equal cells by an exact offset, others by the nearest centre.
+
+    cells: pos, x, y, raw; rasters: pos, src, left, top, step_x, step_y, width, height; grid: one row. Steps within 1e-5
+    and offsets within 1e-3 of a whole cell are taken as exact. Otherwise an output cell k reads the source cell
+    round(base + k * step); each source cell lists the few k that may do so and keeps those that do.
+    """
+    g = F.broadcast(grid.select(*[F.col(c).alias(f"g_{c}") for c in ("left", "top", "step_x", "step_y", "width", "height")]))
+    meta = rasters.join(g)
+    for a, o in (("x", "left"), ("y", "top")):
+        meta = meta.withColumn(f"base_{a}", (F.col(f"g_{o}") - F.col(o)) / F.col(f"step_{a}")).withColumn(f"rate_{a}", F.col(f"g_step_{a}") / F.col(f"step_{a}"))
+    near = lambda c, d: F.abs(c) < d
+    whole = lambda a: near(F.col(f"rate_{a}") - 1, 1e-5) & near(F.col(f"base_{a}") - F.round(f"base_{a}"), 1e-3)
+    meta = meta.withColumn("exact", whole("x") & whole("y"))
+    c = cells.where("raw <> 0").join(meta.select("pos", "src", "exact", "base_x", "base_y", "rate_x", "rate_y", "g_width", "g_height"), "pos")
+    for a in ("x", "y"):
+        base, rate, at = F.col(f"base_{a}"), F.col(f"rate_{a}"), F.col(a)
+        low = F.floor((at - 0.5 - base) / rate) - 1
+        tries = F.sequence(low, F.ceil((at + 0.5 - base) / rate) + 1)
+        c = c.withColumn(f"m{a}", F.explode(F.when(F.col("exact"), F.array((at - F.round(base)).cast("bigint"))).otherwise(F.filter(tries, lambda k: F.round(base + k * rate) == at))))
+    return c.where("mx between 0 and g_width - 1 and my between 0 and g_height - 1").select("src", F.col("mx").alias("x"), F.col("my").alias("y"), "raw", "pos")

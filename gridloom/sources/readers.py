@@ -171,7 +171,7 @@ def probe(rasters: DataFrame) -> DataFrame:
     def run(batches):
         for pdf in batches:
             rows = [{"path": p, **header_facts(bytes(c))} for p, c in zip(pdf["path"], pdf["content"], strict=True)]
-            out = pd.DataFrame(rows, columns=names)
+            out = pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names, dtype=object)
             whole = [n for n, t in (f.split() for f in FACTS.split(", ")) if t == "bigint"]
             yield out.astype({n: "Int64" for n in whole})
 
