@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gridloom.runtime import ship_package
 
-from . import containers, mvt, png, tiff
+from . import containers, flatgeobuf, mvt, png, tiff
 
 CELLS = "path string, error string, x int, y int, v int"
 FACTS = (
@@ -143,6 +143,29 @@ def building_rows(tiles: DataFrame) -> DataFrame:
     return tiles.select("z", "x", "y", "content").mapInPandas(run, f"z int, x int, y int, pos bigint, ext {point}, holes array<{point}>, tags map<string,string>, error string")
 
 
+def flatgeobuf_rows(spark: SparkSession, path: str, box: tuple | None = None) -> DataFrame:
+    """(path, pos, ext, holes, top, tags, error) of the polygons of all FlatGeobuf files under a path, in file order.
+
+    box (west, south, east, north) goes down to each file's spatial index.
+    """
+    point = "array<struct<lon:double,lat:double>>"
+
+    def run(batches):
+        pts = lambda ps: [{"lon": a, "lat": b} for a, b in ps]
+        for pdf in batches:
+            rows = []
+            for p, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    for pos, (tags, ring, holes, top) in enumerate(flatgeobuf.read(content, box)):
+                        rows.append((p, pos, pts(ring), [pts(h) for h in holes], top, {k: str(v) for k, v in tags.items()}, None))
+                except Exception as e:  # noqa: BLE001
+                    rows.append((p, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "pos", "ext", "holes", "top", "tags", "error"]).astype({"pos": "Int64", "top": "Float64"})
+
+    found = files(spark, path, "*.fgb").select("path", "content")
+    return found.mapInPandas(run, f"path string, pos bigint, ext {point}, holes array<{point}>, top double, tags map<string,string>, error string")
+
+
 def header_facts(data: bytes) -> dict:
     """Facts of one TIFF header, or the reason there are none; samples are not read."""
     try:

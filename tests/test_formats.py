@@ -200,3 +200,32 @@ def test_buildings_as_rows_and_geojson(spark):
     assert got.where("error is not null").count() == 1
     r = got.where("error is null").select("tags", sinks.geojson_feature(F.col("ext"), F.lit(9.0)).alias("g")).first()
     assert r["tags"] == {"height": "9 m"} and len(json.loads(r["g"])["geometry"]["coordinates"][0]) == 4
+
+
+@pytest.mark.parametrize("width", [0, 2, 16])
+def test_flatgeobuf_round_trip_and_box(width):
+    from gridloom.sources import flatgeobuf
+
+    square = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
+    shapes = [({"height": f"{i} m", "k": "v"}, square(float(i), float(i % 7), 0.5), [square(i + 0.1, i % 7 + 0.1, 0.1)] if i % 3 == 0 else [], 400.0 + i if i % 2 else None) for i in range(37)]
+    raw = flatgeobuf.write(shapes, width)
+    assert flatgeobuf.read(raw) == shapes
+    box = (10.2, 0.0, 20.1, 4.0)
+    inside = [s for s in shapes if s[1][0][0] <= box[2] and s[1][1][0] >= box[0] and s[1][0][1] <= box[3] and s[1][2][1] >= box[1]]
+    assert flatgeobuf.read(raw, box) == inside and 0 < len(inside) < 37
+    assert flatgeobuf.read(raw, (100, 100, 101, 101)) == []
+    with pytest.raises(flatgeobuf.FormatError):
+        flatgeobuf.read(b"GeoJSON!" + raw[8:])
+    with pytest.raises(flatgeobuf.FormatError):
+        flatgeobuf.read(raw[:-3])
+
+
+def test_flatgeobuf_files_as_rows(spark, tmp_path):
+    from gridloom.sources import flatgeobuf
+
+    ring = [(8.0, 47.0), (8.1, 47.0), (8.1, 47.1)]
+    (tmp_path / "a.fgb").write_bytes(flatgeobuf.write([({"levels": "3"}, ring, [], 512.5), ({}, [(x + 5, y) for x, y in ring], [], None)]))
+    (tmp_path / "b.fgb").write_bytes(b"nothing")
+    got = readers.flatgeobuf_rows(spark, str(tmp_path), (7.9, 46.9, 8.2, 47.2)).collect()
+    good = [r for r in got if r["error"] is None]
+    assert len(got) == 2 and len(good) == 1 and good[0]["top"] == 512.5 and good[0]["tags"] == {"levels": "3"} and len(good[0]["ext"]) == 3
