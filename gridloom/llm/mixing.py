@@ -23,6 +23,7 @@ from ._base import WORD, materialize, read_table, whole_text
 
 WEIGHTS = (5, 2, 1)  #: of the sources in order, repeating
 MOST = 3  #: copies of a document, and a source's target over its size
+FEW = 20_000  #: sources up to which tables of one row per source are broadcast; beyond, they join by shuffle
 COARSE, FINE = 64, 1024  #: ranking buckets to a unit of the log rank, and parts of one of them
 
 
@@ -67,14 +68,13 @@ def repeated(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> Dat
     Rows that agree in id, source and size are taken alike. Of documents without words,
     which no target speaks of, one copy stays.
     """
-    key = [F.col("doc_id"), F.col("source"), word_count(whole_text()).alias("_size")]
-    copies = mix_copies(docs, weights, most).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_copies"))
-    hashed = F.xxhash64("doc_id", F.coalesce(F.col("source"), F.lit("")), F.col("source").isNull())
-    left = docs.select("*", key[2]).withColumn("_key", hashed)
-    right = copies.select(hashed.alias("_key"), F.col("size").alias("_size"), F.when(F.col("size") == 0, 1).otherwise(F.col("_copies")).cast("int").alias("_copies"))
-    right = right.groupBy("_key", "_size").agg(F.max("_copies").alias("_copies"))
-    joined = left.join(right, ["_key", "_size"]).where("_copies > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    copies = mix_copies(docs, weights, most).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies"))
+    hashed = lambda d, s, n: F.xxhash64(d, F.coalesce(s, F.lit("")), s.isNull(), n)
+    left = docs.select(F.struct(*docs.columns).alias("row"), hashed(F.col("doc_id"), F.col("source"), word_count(whole_text())).alias("key"))
+    right = copies.select(hashed(F.col("doc_id"), F.col("source"), F.col("size")).alias("key"), F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).cast("int").alias("copies"))
+    right = right.groupBy("key").agg(F.max("copies").alias("copies"))
+    joined = left.join(right, "key").where("copies > 0")
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def mix_copies(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -99,9 +99,11 @@ def mix_copies(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> D
     budget = source_targets(sized, weights, most).withColumn(
         "skey", F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), "source"))
     )
-    mean = sized.groupBy("skey").agg((F.sum(F.col("size") * lean) / F.sum("size").cast("double")).alias("mean_lean"))
+    mean = sized.groupBy("skey").agg(F.try_divide(F.sum(F.col("size") * lean), F.sum("size").cast("double")).alias("mean_lean"))
     facts = materialize(budget.drop("source").join(mean, "skey"), "targets")
-    rows = sized.join(facts, "skey")
+    few = facts.count() <= FEW
+    per_source = lambda df: F.broadcast(df) if few else df
+    rows = sized.join(per_source(facts), "skey")
     top = F.lit(float(most))
     ratio = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), top)).otherwise(0.0)
     rows = rows.withColumn("ratio", ratio).withColumn("lean", lean)
@@ -125,30 +127,30 @@ def mix_copies(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> D
     def boundary(parts: DataFrame, key: str, room: DataFrame) -> DataFrame:
         """(skey, key, room): the bucket in which a source's running sum first passes its room, and the room left at its start."""
         run = F.sum("words").over(by_source.orderBy(key).rowsBetween(W.unboundedPreceding, W.currentRow))
-        over = parts.withColumn("run", run).join(room, "skey").where("run > room")
+        over = parts.withColumn("run", run).join(per_source(room), "skey").where("run > room")
         hit = over.groupBy("skey").agg(F.min(F.struct(key, "run", "words", "room")).alias("h"))
         return hit.select("skey", F.col(f"h.{key}").alias(key), F.expr("h.room - h.run + h.words").alias("room"))
 
     first = boundary(cand.groupBy("skey", "b1").agg(F.sum("size").alias("words")), "b1", room)
-    inner = materialize(cand.join(first, ["skey", "b1"]), "boundary")
+    inner = materialize(cand.join(per_source(first), ["skey", "b1"]), "boundary")
     parts = inner.groupBy("skey", "b2").agg(F.sum("size").alias("words"))
     second = boundary(parts, "b2", inner.groupBy("skey").agg(F.max("room").alias("room")))
-    last = inner.drop("room").join(second, ["skey", "b2"])
+    last = inner.drop("room").join(per_source(second), ["skey", "b2"])
     run = F.sum("size").over(by_source.orderBy("rank", "doc_id", "size").rangeBetween(W.unboundedPreceding, W.currentRow))
     over = last.withColumn("run", run).where("run > room")
     # the first key that no longer fits; everything before it is taken
     stop = over.groupBy("skey").agg(F.min(F.struct("rank", "doc_id", "size")).alias("stop"))
-    rows = rows.join(room.join(stop, "skey", "left"), "skey")
+    rows = rows.join(per_source(room.join(stop, "skey", "left")), "skey")
     me = F.struct("rank", "doc_id", "size")
     drawn = F.col("rank").isNotNull() & (F.col("stop").isNull() | (me < F.col("stop")))
     rows = materialize(rows.withColumn("drawn", F.coalesce(drawn, F.lit(False))).drop("stop", "b1", "b2"), "drawn")
     # the last gap goes to the one document whose size comes nearest, if that is nearer than none
     gap = rows.groupBy("skey").agg((F.max("room") - F.sum(F.when(F.col("drawn"), F.col("size")).otherwise(0))).alias("gap"))
     rest = rows.where("rank is not null and not drawn").groupBy("skey", "rank", "doc_id", "size").agg(F.count(F.lit(1)).alias("n"))
-    rest = rest.join(gap, "skey").withColumn("off", F.abs(F.col("gap") - F.col("n") * F.col("size")))
+    rest = rest.join(per_source(gap), "skey").withColumn("off", F.abs(F.col("gap") - F.col("n") * F.col("size")))
     fits = rest.where((F.col("off") < F.abs("gap")) & (F.abs(F.col("gap") - F.col("size")) < F.abs("gap")))
     pick = fits.groupBy("skey").agg(F.min_by(me, F.struct("off", "rank", "doc_id", "size")).alias("pick"))
-    rows = rows.join(pick, "skey", "left")
+    rows = rows.join(per_source(pick), "skey", "left")
     chosen = F.col("drawn") | (F.col("rank").isNotNull() & me.eqNullSafe(F.col("pick")))
     copies = F.col("sure") + F.when(chosen, 1).otherwise(0)
     return rows.select(
