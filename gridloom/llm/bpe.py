@@ -1,34 +1,48 @@
-"""Byte-level BPE in Spark higher-order functions.
-
-A text is cut by the tokenizer's pattern; each piece is encoded apart. A fold over the
-piece's bytes merges, again and again, the leftmost pair of lowest rank, with ranks from
-a literal map (bytes in hexadecimal; the map is dealt to buckets by CRC-32, since Spark
-searches a map entry by entry). Distinct words are encoded once where that pays: the
-most frequent ones of a first pass over the corpus become a literal dictionary of at
-most DICTIONARY words, which only saves work and never changes a result. Decoding looks
-up each id's bytes and joins them.
+"""Byte-level BPE: ranked merges folded over the bytes of distinct words.
+
+A text is cut by the tokenizer's pattern; each piece is encoded apart: as one id if the
+rank map has it, else by merging, again and again, the leftmost pair of lowest rank.
+A task encodes a word once and keeps it in a bounded memory of words, which only saves
+work. Decoding joins the bytes that the ids stand for.
+
+Two forms share the algorithm: `encode_documents` runs it in Arrow batches and is what
+the query uses; `encoder` says the same in Spark's higher-order functions, with the ranks
+as a literal map, for plans that must stay free of Python (see the README for its cost).
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
+import re
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._base import read_table, whole_text
 
 RANKS = "byte_bpe_multi_50k.tiktoken"  #: file of ranks, by its name among the public tokenizers
-DICTIONARY = 50_000  #: words at most that are encoded ahead
+REMEMBERED = 150_000  #: words that a task keeps with their ids, in each of two generations
+STEP = 512  #: texts whose ids are handed back at once
+NONE = 1 << 62  #: rank of a pair that no merge joins
+MARKS = ".,;:!?"  #: marks that follow a word as a piece of their own
+LONG = 256  #: bytes from which a piece is merged with a heap
 BUCKETS = 8192  #: of the literal maps
 
 # The tokenizer's pattern with white space by Unicode, as its own library reads it.
 _SPACE = r"\p{IsWhite_Space}"
-PATTERN = public_tokenizers.PATTERN.replace(r"[^\s\p{L}", rf"[^{_SPACE}\p{{L}}").replace(r"\s", _SPACE).replace(r"\S", r"\P{IsWhite_Space}")
+JAVA_PATTERN = public_tokenizers.PATTERN.replace(r"[^\s\p{L}", rf"[^{_SPACE}\p{{L}}").replace(r"\s", _SPACE).replace(r"\S", r"\P{IsWhite_Space}")
+PATTERN = public_tokenizers.PATTERN.replace(r"[^\s\p{L}", r"[^\p{White_Space}\p{L}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+
+#: Where cutting a text before each blank could cut a piece: a blank between two white-space characters or at the end after one.
+_AMONG_BLANKS = re.compile(r"\s (?:\s|\Z)")
 
 
 @lru_cache(maxsize=4)
@@ -37,6 +51,131 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f.read().splitlines())}
 
 
+def fold_merges(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """Tokens of one piece: merges of the leftmost pair of lowest rank until no pair has one."""
+    if len(piece) >= LONG:
+        return _fold_long(piece, ranks)
+    get = ranks.get
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    rank = [get(piece[i : i + 2], NONE) for i in range(len(piece) - 1)]
+    while rank and (least := min(rank)) != NONE:
+        at = rank.index(least)
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        del rank[at]
+        if at:
+            rank[at - 1] = get(parts[at - 1] + parts[at], NONE)
+        if at < len(rank):
+            rank[at] = get(parts[at] + parts[at + 1], NONE)
+    return parts
+
+
+def _fold_long(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The same merges over a linked list with a heap of pairs, so a long piece costs n log n."""
+    n = len(piece)
+    end = list(range(1, n + 1))  # of the part that starts here; 0 once it is merged away
+    before = list(range(-1, n - 1))
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        j = end[i]
+        if not j or j >= n or end[j] != stop:
+            continue
+        end[i], end[j] = stop, 0
+        if stop < n:
+            before[stop] = i
+            if (r := ranks.get(piece[i : end[stop]])) is not None:
+                heapq.heappush(heap, (r, i, end[stop]))
+        if (h := before[i]) >= 0 and (r := ranks.get(piece[h:stop])) is not None:
+            heapq.heappush(heap, (r, h, stop))
+    out, i = [], 0
+    while i < n:
+        out.append(piece[i : end[i]])
+        i = end[i]
+    return out
+
+
+class WordEncoder:
+    """Encodes whole texts, distinct words once while they are remembered.
+
+    Ids are kept as bytes of 32-bit integers, so a text's ids are one join. Words are kept
+    in two generations: when the young one is full it becomes the old one, and words met
+    again are young again.
+    """
+
+    def __init__(self, ranks: dict[bytes, int]):
+        import regex
+
+        self.ranks, self.cut = ranks, regex.compile(PATTERN).findall
+        self.coded = {k: v.to_bytes(4, "little") for k, v in ranks.items()}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.marks = {c: self.piece(c) for c in MARKS}
+
+    def piece(self, piece: str) -> bytes:
+        raw = piece.encode("utf-8", "surrogatepass")
+        one = self.coded.get(raw)
+        return b"".join(map(self.coded.__getitem__, fold_merges(raw, self.ranks))) if one is None else one
+
+    def pieces(self, text: str) -> bytes:
+        return b"".join(map(self.piece, self.cut(text)))
+
+    def word(self, word: str) -> bytes:
+        """Ids of a blank and the word after it; a word of letters and one mark are two pieces."""
+        ids = self.old.get(word)
+        if ids is None:
+            if word.isalpha():
+                ids = self.piece(" " + word)
+            elif word[-1:] in self.marks and word[:-1].isalpha():
+                ids = (self.young.get(word[:-1]) or self.word(word[:-1])) + self.marks[word[-1]]
+            else:
+                ids = self.pieces(" " + word)
+        if len(word) < LONG:
+            if len(self.young) >= REMEMBERED:
+                self.young, self.old = {}, self.young
+            self.young[word] = ids
+        return ids
+
+    def encode(self, text: str | None) -> np.ndarray:
+        """Ids of a text. Cut before every blank, its parts have the ids of the whole, but among blanks."""
+        if not text:
+            return np.zeros(0, np.int32)
+        if _AMONG_BLANKS.search(text):
+            return np.frombuffer(self.pieces(text), "<i4")
+        first, *rest = text.split(" ")
+        found = list(map(self.young.get, rest))
+        if None in found:
+            found = [self.word(w) if ids is None else ids for w, ids in zip(rest, found, strict=True)]
+        return np.frombuffer(self.pieces(first) + b"".join(found), "<i4")
+
+
+def encode_documents(docs: DataFrame, path: str) -> DataFrame:
+    """docs with `ids`, the token ids of the whole text.
+
+    Null and empty texts have no ids; repeated rows, ties and further columns make no
+    difference; a piece of any length costs n log n.
+    """
+    ranks = load_ranks(path)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = WordEncoder(ranks)
+        for texts in batches:
+            for lo in range(0, len(texts), STEP):
+                ids = [encoder.encode(t.as_py()) for t in texts.slice(lo, STEP)]
+                ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return docs.withColumn("ids", F.arrow_udf(run, "array<int>")(whole_text()))
+
+
+def decoded(ids: Column, path: str) -> Column:
+    """The bytes that the ids stand for: their pieces, joined."""
+    by_id = {v: k for k, v in load_ranks(path).items()}
+    pieces = F.from_json(F.lit(json.dumps([by_id[i].hex() if i in by_id else "" for i in range(max(by_id) + 1)])), "array<string>")
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(pieces, i + 1)), ""))
+
+
 def _bucketed(entries: dict, kind: str) -> Column:
     """A literal array of maps; an entry lies in the map of its key's CRC-32."""
     maps: list[dict] = [{} for _ in range(BUCKETS)]
@@ -85,53 +224,27 @@ def encode_bytes(hexed: Column, ranks: Column) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(JAVA_PATTERN), F.lit(0))
 
 
-def encoder(path: str, dictionary: dict[str, list[int]] | None = None):
-    """A function from a text column to its array of ids."""
+def encoder(path: str):
+    """A function from a text column to its array of ids, in higher-order functions only."""
     table = load_ranks(path)
     ranks = _bucketed({k.hex().upper(): v for k, v in table.items()}, "int")
-    ahead = _bucketed(dictionary or {}, "array<int>")
 
     def word_ids(w: Column) -> Column:
         hexed = F.hex(w.cast("binary"))
         direct = lambda h: F.when(_look(ranks, h).isNotNull(), F.array(_look(ranks, h)))
-        slow = _let(hexed, lambda h: F.coalesce(direct(h), encode_bytes(h, ranks)))
-        return F.coalesce(_look(ahead, w), slow) if dictionary else slow
+        return _let(hexed, lambda h: F.coalesce(direct(h), encode_bytes(h, ranks)))
 
     return lambda text: F.flatten(F.transform(words_of(text), word_ids))
 
 
-def frequent_words(docs: DataFrame, path: str, size: int = DICTIONARY) -> dict[str, list[int]]:
-    """The `size` most frequent words of all texts (ties by the word) with their ids: at most `size` rows come to the driver."""
-    words = docs.select(F.explode(words_of(whole_text())).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    top = words.orderBy(F.desc("n"), "w").limit(size).select("w")
-    ids = encoder(path)
-    return {r["w"]: r["ids"] for r in top.select("w", ids(F.col("w")).alias("ids")).collect()}
-
-
-def encode_documents(docs: DataFrame, path: str, dictionary: dict | None = None) -> DataFrame:
-    """docs with `ids`, the token ids of the whole text.
-
-    Null and empty texts have no ids; repeated rows, ties and further columns make no
-    difference; the time for one piece grows with the square of its length.
-    """
-    return docs.withColumn("ids", encoder(path, dictionary)(whole_text()))
-
-
-def decoded(ids: Column, path: str) -> Column:
-    """The bytes that the ids stand for."""
-    by_id = {v: k for k, v in load_ranks(path).items()}
-    pieces = F.from_json(F.lit(json.dumps([by_id[i].hex() if i in by_id else "" for i in range(max(by_id) + 1)])), "array<string>")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(pieces, i + 1)), ""))
-
 
 def op4_byte_bpe(spark, sf_dir: str) -> DataFrame:
     """Query: number and digest of every document's ids, and the digest of the bytes decoded from them."""
     path = public_tokenizers.path(RANKS)
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = encode_documents(docs, path, frequent_words(docs, path))
+    found = encode_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
