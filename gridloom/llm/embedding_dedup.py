@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import discard, group_slices, materialize, read_table, shuffle_width, tiled, union_pairs, whole_groups
+from ._base import group_slices, materialize, read_table, shuffle_width, tiled, union_pairs, whole_groups
 from .components import connected_components
 
 BUCKET = 256  #: vectors that a bucket should hold on average
