@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import materialize, read_table, union_pairs
+from ._base import hashed_sample, materialize, read_table, union_pairs
 from .components import connected_components
 from .fingerprint import mixed
 
@@ -136,7 +137,8 @@ def hamming_forest(fps: DataFrame, radius: int = 4, blocks: int = 4, leaf: int =
     trees split.
     """
     n = fps.count()
-    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    some = hashed_sample(fps.select("fp"), "fp", most=SAMPLE, rows=n).collect()
+    sample = np.sort(np.array([r[0] for r in some], np.int64)).view(np.uint64)
     depth = 0
     while leaf * 2**depth < n and depth < 16:
         depth += 1
@@ -205,7 +207,7 @@ def deduplicated(docs: DataFrame, words: int = 5, likeness: float = 0.8, radius:
     Texts without words are one group. Null ids come last; of rows that agree in their
     id the first written one stays. Repeated rows are copies; no rows give no rows.
     """
-    views = F.pandas_udf(_views(words), "fp long, check long")
+    views = F.arrow_udf(_views(words), "fp long, check long")
     tagged = docs.select(F.struct(*docs.columns).alias("doc"), views(F.col("text")).alias("v"), F.monotonically_increasing_id().alias("row"))
     tagged = materialize(tagged.select("doc", "v.*", "row"), "tagged")
     first = F.struct(F.col("doc.doc_id").isNull().alias("n"), F.col("doc.doc_id").alias("d"), F.col("row").alias("r"))
@@ -221,11 +223,13 @@ def deduplicated(docs: DataFrame, words: int = 5, likeness: float = 0.8, radius:
 
 
 def _views(words: int):
-    def run(text: pd.Series) -> pd.DataFrame:
-        v = np.array([shingle_fingerprints(t, words, 2) for t in text], np.uint64).reshape(-1, 2).view(np.int64)
-        return pd.DataFrame({"fp": v[:, 0], "check": v[:, 1]})
+    """The two views of a text as an Arrow function; texts become Python strings one at a time."""
 
-    run.__annotations__ = {"text": pd.Series, "return": pd.DataFrame}
+    def run(texts: pa.Array) -> pa.Array:
+        v = np.array([shingle_fingerprints(t.as_py(), words, 2) for t in texts], np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.StructArray.from_arrays([pa.array(v[:, 0].copy()), pa.array(v[:, 1].copy())], ["fp", "check"])
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return run
 
 
