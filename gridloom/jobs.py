@@ -15,6 +15,7 @@ from gridloom.runtime import ship_package
 from gridloom.sources import containers, readers, sinks, tiff
 
 META = "path string, error string, left double, top double, step_x double, step_y double, width bigint, height bigint"
+MAX_TILES = 2_000_000  #: tiles of a plan; a box that needs more is a typing error
 
 
 def _opened(path: str, content: bytes, sidecar: bytes | None):
@@ -124,8 +125,10 @@ def plan(spark: SparkSession, south: float, north: float, west: float, east: flo
     if not resolutions or min(resolutions) <= 0:
         raise ValueError("resolutions must be positive")
     box = spark.createDataFrame([(0, south, north, west, east)], "id int, south double, north double, west double, east double")
-    tiles = runs.plan_tiles(box, resolutions).drop("id").orderBy("resolution_m", "ul_lat", "ul_lon")
-    listed = [r.asDict() for r in tiles.collect()]
+    tiles = runs.plan_tiles(box, resolutions).drop("id")
+    if tiles.count() > MAX_TILES:
+        raise ValueError(f"the box needs more than {MAX_TILES} tiles; shrink it or use coarser resolutions")
+    listed = [r.asDict() for r in tiles.orderBy("resolution_m", "ul_lat", "ul_lon").collect()]
     return {"tile_count": len(listed), "total_bytes": sum(t["est_bytes"] for t in listed), "tiles": listed}
 
 

@@ -15,6 +15,7 @@ from . import views as V
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+DEGRADED_LIST_CAP = 20_000  #: lines that a run lists before it only counts the rest, as in the reference
 
 
 def query(sql: str | None = None):
@@ -149,11 +150,14 @@ def batch_tally(spark, sf):
 @query("""WITH t AS (SELECT o_orderkey AS id, format('[Degraded] z=12 x={} y={} reason={} filled_from=z{}', o_orderkey % 64, o_custkey % 64, CASE o_orderkey % 3 WHEN 0 THEN 'timeout' WHEN 1 THEN 'http_503' ELSE 'decode' END, 12 - o_custkey % 5) AS line FROM orders)
 SELECT id, line FROM t ORDER BY id LIMIT 500""")
 def degraded_lines(spark, sf):
-    # the list is capped by definition: the first 500 by order
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     why = F.when(k % 3 == 0, "timeout").when(k % 3 == 1, "http_503").otherwise("decode")
     line = F.format_string("[Degraded] z=12 x=%d y=%d reason=%s filled_from=z%d", k % 64, c % 64, why, 12 - c % 5)
-    return V.table(spark, sf, "orders").select(k.alias("id"), line.alias("line")).orderBy("id").limit(500)
+    lines = V.table(spark, sf, "orders").select(k.alias("id"), line.alias("line"))
+    # the row of the lines not listed has no id
+    more = F.format_string("[Degraded] … %d more not listed", F.col("n") - DEGRADED_LIST_CAP)
+    rest = lines.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > DEGRADED_LIST_CAP).select(F.lit(None).cast(lines.schema["id"].dataType).alias("id"), more.alias("line"))
+    return lines.orderBy("id").limit(DEGRADED_LIST_CAP).unionByName(rest)
 
 
 @query("""SELECT c_custkey AS job, len(src) AS n, array_to_string(list_transform(src, lambda s: s), ',') AS paths FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN ['base_' || c_custkey, 'swiss_a', 'swiss_b'] WHEN c_custkey % 3 = 1 THEN ['own_' || c_custkey] ELSE ['base_' || c_custkey] END AS src FROM customer)""")
