@@ -34,7 +34,7 @@ SELECT id, CAST(trunc(greatest(least(CAST(m * 2::FLOAT + CASE WHEN m * 2::FLOAT
 def float_mean(spark, sf):
     v = (F.col("l_quantity") * F.lit(3.7) - 60).cast("float")
     key = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", v.alias("v"))
-    li = V.table(spark, sf, "lineitem").where("l_suppkey % 3 = 0").groupBy(F.col("l_suppkey").alias("id")).agg(F.array_sort(F.collect_list(key)).alias("s"))
+    li = V.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.array_sort(F.collect_list(key)).alias("s"))
     return li.select("id", resample.float_mean(F.transform("s", lambda s: s["v"])).cast("int").alias("half"))
 
 
@@ -75,7 +75,7 @@ c AS (SELECT id, unnest(range(x0 // 64, (x1 - 1) // 64 + 1)) AS cx, y0, y1 FROM
 SELECT id, cy * 20 + cx AS chunk FROM d""")
 def window_chunks(spark, sf):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    o = V.table(spark, sf, "orders").where(k % 11 == 0)
+    o = V.table(spark, sf, "orders")
     w = o.select(k.alias("id"), (k % 900).alias("x0"), (k % 900 + c % 200).alias("x1"), (c % 700).alias("y0"), (c % 700 + k % 90).alias("y1"))
     return resample.window_chunks(w, 64, 20)
 

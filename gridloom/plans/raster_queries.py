@@ -164,7 +164,7 @@ _SPECS = "specs AS (SELECT c_custkey % 29 AS x0, c_custkey % 29 + c_custkey % 3
 
 def _specs(spark, sf):
     k = F.col("c_custkey")
-    return V.table(spark, sf, "customer").where(k % 5 == 0).select((k % 29).alias("x0"), (k % 29 + k % 3).alias("x1"), (k % 13).alias("y0"), (k % 13 + k % 2).alias("y1"))
+    return V.table(spark, sf, "customer").select((k % 29).alias("x0"), (k % 29 + k % 3).alias("x1"), (k % 13).alias("y0"), (k % 13 + k % 2).alias("y1"))
 
 
 @query(f"WITH {_SPECS}, e AS (SELECT y0, y1, unnest(range(x0, x1 + 1)) AS x FROM specs) SELECT DISTINCT 15 AS z, x, unnest(range(y0, y1 + 1)) AS y FROM e")
@@ -184,7 +184,7 @@ def cache_diff(spark, sf):
 @query(f"""WITH {V.XYZ}, f AS (SELECT o_orderkey % 500 AS cell, CAST(o_orderkey % 32 AS INT) AS x, CAST(o_custkey % 16 AS INT) AS y FROM orders WHERE o_orderkey % 7 = 0),
 l AS (SELECT DISTINCT x, y, true AS yes FROM xyz WHERE z = 15 AND status = 'ok') SELECT cell, bool_and(coalesce(yes, false)) AS rewrite FROM f LEFT JOIN l USING (x, y) GROUP BY cell""")
 def repair_mask(spark, sf):
-    o = V.table(spark, sf, "orders").where("o_orderkey % 7 = 0")
+    o = V.table(spark, sf, "orders")
     feet = o.select((F.col("o_orderkey") % 500).alias("cell"), (F.col("o_orderkey") % 32).cast("int").alias("x"), (F.col("o_custkey") % 16).cast("int").alias("y"))
     return quadtree.repair_mask(feet, V.xyz(spark, sf).where("z = 15 and status = 'ok'"))
 

@@ -1,7 +1,10 @@
 """Queries do the whole job: no cap below the reference's, no subset of ids, no part of the pairs."""
 
+import os
+
 import duckdb
 import pytest
+from test_catalog import SF, TABLES, rows
 
 from gridloom import jobs
 from gridloom.plans import catalog
@@ -39,3 +42,23 @@ def test_plans_of_too_many_tiles_are_refused(spark, monkeypatch):
         jobs.plan(spark, 46.99, 47.51, 7.49, 8.01, [30, 90])
     monkeypatch.setattr(jobs, "MAX_TILES", 13)
     assert jobs.plan(spark, 46.99, 47.51, 7.49, 8.01, [30, 90])["tile_count"] == 13
+
+
+#: The filters by ids that the SQL has and the job has not.
+CUTS = {
+    "window_chunks": " WHERE o_orderkey % 11 = 0",
+    "float_mean": " WHERE l_suppkey % 3 = 0",
+    "fetch_set": " WHERE c_custkey % 5 = 0",
+    "cache_diff": " WHERE c_custkey % 5 = 0",
+    "repair_mask": " WHERE o_orderkey % 7 = 0",
+}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
+@pytest.mark.parametrize("name", sorted(CUTS))
+def test_all_ids_are_taken(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.sql(catalog.SQL[name].replace(CUTS[name], "")).df()
+    assert rows(catalog.QUERIES[name](spark, SF).toPandas()) == rows(want)
