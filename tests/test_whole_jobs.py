@@ -50,6 +50,7 @@ CUTS = {
     "float_mean": " WHERE l_suppkey % 3 = 0",
     "fetch_set": " WHERE c_custkey % 5 = 0",
     "cache_diff": " WHERE c_custkey % 5 = 0",
+    "cross_links": " WHERE c_custkey % 100 = 0",
     "repair_mask": " WHERE o_orderkey % 7 = 0",
 }
 
