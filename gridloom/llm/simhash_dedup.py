@@ -18,13 +18,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import hashed_sample, materialize, read_table, union_pairs
+from ._base import group_slices, hashed_sample, materialize, read_table, shuffle_width, tiled, union_pairs, whole_groups
 from .components import connected_components
 from .fingerprint import mixed
 
 SAMPLE = 8192  #: distinct fingerprints at most that the trees are fitted on
 LEAF = 4096  #: fingerprints that a shard owns, about
 WIDE_LEAF = 16384  #: the same for wide radii, where more shards would mean many more visits
+VIEWS = 2  #: fingerprints of 64 bits that near copies are searched by
+EXACT_TILE = 1024  #: texts of one group that are compared at once, about half
 
 
 def shingle_fingerprints(text: str | None, words: int, views: int = 1) -> list[int]:
@@ -34,26 +36,59 @@ def shingle_fingerprints(text: str | None, words: int, views: int = 1) -> list[i
     form feed and carriage return; fewer than `words` words make one shingle, none
     gives zero. A bit is set if more than half of the shingles set it.
     """
+    total, votes = 0, np.zeros((views, 64), np.int64)
+    for h in _shingle_hashes(text, words):
+        total += len(h)
+        for v in range(views):
+            h = mixed(h) if v else h
+            votes[v] += _bits_set(h)
+    return _majority(votes, total)
+
+
+def _shingle_hashes(text: str | None, words: int):
+    """XXH64 (seed 42) of the word shingles in parts of 65,536; none without words."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return [0] * views
+        return
     joined = b" ".join(tokens)
     size = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(size + 1) - 1
     starts = ends - size
     k = min(words, len(tokens))
     digest = xxhash.xxh64_intdigest
-    total, votes = len(tokens) - k + 1, np.zeros((views, 64), np.int64)
+    total = len(tokens) - k + 1
     for lo in range(0, total, 65536):
         hi = min(lo + 65536, total)
         spans = zip(starts[lo:hi].tolist(), ends[lo + k - 1 : hi + k - 1].tolist(), strict=True)
-        h = np.array([digest(joined[a:b], 42) for a, b in spans], np.uint64)
-        for v in range(views):
-            h = mixed(h) if v else h
-            votes[v] += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        yield np.array([digest(joined[a:b], 42) for a, b in spans], np.uint64)
+
+
+def _bits_set(h: np.ndarray) -> np.ndarray:
+    return np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def _majority(votes: np.ndarray, total: int) -> list[int]:
     return [int.from_bytes(np.packbits(2 * v > total).tobytes(), "big") for v in votes]
 
 
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, in order."""
+    parts = list(_shingle_hashes(text, words))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def set_views(text: str | None, words: int, views: int) -> list[int]:
+    """A name of the text's shingle set (equal for equal sets) and `views` majority votes of the set; zeros without words."""
+    h = shingle_set(text, words)
+    if not len(h):
+        return [0] * (views + 1)
+    name, votes, total = xxhash.xxh64_intdigest(h.tobytes(), 42), np.zeros((views, 64), np.int64), len(h)
+    for v in range(views):
+        h = mixed(h) if v else h
+        votes[v] = _bits_set(h)
+    return [name, *_majority(votes, total)]
+
+
 def shingle_fingerprint(text: str | None, words: int) -> int:
     return shingle_fingerprints(text, words)[0]
 
@@ -128,22 +163,23 @@ def _links(own: np.ndarray, at: np.ndarray, block: np.ndarray, radius: int, with
             yield i[keep], j[keep]
 
 
-def hamming_forest(fps: DataFrame, radius: int = 4, blocks: int = 4, leaf: int = LEAF, most: int | None = None) -> DataFrame:
-    """Edges (a, b) of a forest that connects exactly what links of at most `radius` bits connect.
-
-    fps: a long column `fp` of distinct fingerprints, and with `most` a second view
-    `check` of each: a link then needs at most `most` bits in both views together. All
-    links are searched; the sample of at most SAMPLE fingerprints decides only where the
-    trees split.
-    """
-    n = fps.count()
-    some = hashed_sample(fps.select("fp"), "fp", most=SAMPLE, rows=n).collect()
+def _trees(fps: DataFrame, n: int, col: str, within: int, blocks: int, leaf: int) -> list[VantageTree]:
+    some = hashed_sample(fps.select(col), col, most=SAMPLE, rows=n).collect()
     sample = np.sort(np.array([r[0] for r in some], np.int64)).view(np.uint64)
     depth = 0
     while leaf * 2**depth < n and depth < 16:
         depth += 1
+    return [VantageTree(_block(sample, k, blocks), depth, within, k) for k in range(blocks)]
+
+
+def hamming_forest(fps: DataFrame, radius: int = 4, blocks: int = 4, leaf: int = LEAF) -> DataFrame:
+    """Edges (a, b) of a forest that connects exactly what links of at most `radius` bits connect.
+
+    fps: a long column `fp` of distinct fingerprints. All links are searched; the sample
+    of at most SAMPLE fingerprints decides only where the trees split.
+    """
     within = radius // blocks
-    trees = [VantageTree(_block(sample, k, blocks), depth, within, k) for k in range(blocks)]
+    trees = _trees(fps, fps.count(), "fp", within, blocks, leaf)
     narrow = np.uint16 if blocks >= 4 else np.uint32 if blocks >= 2 else np.uint64
 
     def deal(batches):
@@ -151,24 +187,18 @@ def hamming_forest(fps: DataFrame, radius: int = 4, blocks: int = 4, leaf: int =
             values = pdf["fp"].to_numpy(np.int64).view(np.uint64)
             for k, tree in enumerate(trees):
                 row, shard, owner = tree.shards(_block(values, k, blocks))
-                out = {"shard": shard * blocks + k, "fp": values[row].view(np.int64), "owner": owner}
-                yield pd.DataFrame(out | ({} if most is None else {"check": pdf["check"].to_numpy()[row]}))
+                yield pd.DataFrame({"shard": shard * blocks + k, "fp": values[row].view(np.int64), "owner": owner})
 
     def join(pdf):
         own = pdf["fp"].to_numpy(np.int64).view(np.uint64)
         part = _block(own, int(pdf["shard"].iloc[0]) % blocks, blocks).astype(narrow)
         parent = np.arange(len(own))
-        view = None if most is None else pdf["check"].to_numpy(np.int64).view(np.uint64)
         for i, j in _links(own, np.flatnonzero(pdf["owner"].to_numpy()), part, radius, within):
-            if view is not None:
-                near = np.bitwise_count(own[i] ^ own[j]).astype(np.int64) + np.bitwise_count(view[i] ^ view[j]) <= most
-                i, j = i[near], j[near]
             union_pairs(parent, i, j)
         tied = np.flatnonzero(parent != np.arange(len(own)))
         return pd.DataFrame({"a": own[parent[tied]].view(np.int64), "b": own[tied].view(np.int64)})
 
-    names = ["fp"] if most is None else ["fp", "check"]
-    visits = fps.select(*names).mapInPandas(deal, "shard long, fp long, owner boolean" + ("" if most is None else ", check long"))
+    visits = fps.select("fp").mapInPandas(deal, "shard long, fp long, owner boolean")
     return visits.groupBy("shard").applyInPandas(join, "a long, b long")
 
 
@@ -195,39 +225,150 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4) -> Data
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _probed(block: np.ndarray, at: np.ndarray, within: int, most: int = 1 << 20):
+    """Pairs (i, j), i in `at`, of 16-bit blocks that differ by at most `within` bits, `most` pairs at a time."""
+    order = np.argsort(block, kind="stable")
+    start = np.searchsorted(block[order], np.arange(65537))
+    masks = np.arange(65536)
+    for mask in masks[np.bitwise_count(masks) <= within]:
+        to = block[at].astype(np.int64) ^ mask
+        n = start[to + 1] - start[to]
+        who, k = np.flatnonzero(n), n[n > 0]
+        total = np.cumsum(k)
+        for lo in range(0, int(total[-1]) if len(k) else 0, most):
+            pair = np.arange(lo, min(lo + most, int(total[-1])))
+            g = np.searchsorted(total, pair, "right")
+            yield at[who[g]], order[start[to[who[g]]] + pair - total[g] + k[g]]
+
+
+def near_candidates(classes: DataFrame, radius: int, most: int, leaf: int = WIDE_LEAF) -> DataFrame:
+    """Edges (a, b) of a forest that connects what links connect: any view within `radius` bits and all within `most` together.
+
+    classes: id and the views v0, v1 and so on. Each view has its own trees. All links are searched.
+    """
+    names = [c for c in classes.columns if c.startswith("v")]
+    blocks = 4  # of 16 bits, which _probed() takes
+    n, within = classes.count(), radius // blocks
+    trees = [t for c in names for t in _trees(classes, n, c, within, blocks, leaf)]
+    kinds = len(trees)
+
+    def deal(batches):
+        for pdf in batches:
+            for k, tree in enumerate(trees):
+                values = pdf[names[k // blocks]].to_numpy(np.int64).view(np.uint64)
+                row, shard, owner = tree.shards(_block(values, k % blocks, blocks))
+                yield pdf.iloc[row].assign(shard=shard * kinds + k, owner=owner)
+
+    def join(pdf):
+        ids = pdf["id"].to_numpy(np.int64)
+        view = [pdf[c].to_numpy(np.int64).view(np.uint64) for c in names]
+        k = int(pdf["shard"].iloc[0]) % kinds
+        own = view[k // blocks]
+        parent = np.arange(len(ids))
+        for i, j in _probed(_block(own, k % blocks, blocks), np.flatnonzero(pdf["owner"].to_numpy()), within):
+            near = np.bitwise_count(own[i] ^ own[j]) <= radius
+            i, j = i[near], j[near]
+            near = sum(np.bitwise_count(v[i] ^ v[j]).astype(np.int64) for v in view) <= most
+            union_pairs(parent, i[near], j[near])
+        tied = np.flatnonzero(parent != np.arange(len(ids)))
+        return pd.DataFrame({"a": ids[parent[tied]], "b": ids[tied]})
+
+    kind = ", ".join(f"{c} long" for c in ("id", *names, "shard")) + ", owner boolean"
+    visits = classes.select("id", *names).mapInPandas(deal, kind)
+    return visits.groupBy("shard").applyInPandas(join, "a long, b long")
+
+
+def alike(sets: list[np.ndarray], side: np.ndarray, likeness: float):
+    """(i, j) of each pair of sets with a Jaccard similarity of at least `likeness`; where there are two sides, those across them."""
+    size = np.array([len(x) for x in sets])
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    edge = np.concatenate([[0], np.cumsum(size)])
+    holder = np.repeat(np.arange(len(sets)), size)[np.argsort(code, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(code))])
+    one_side = (side == side[0]).all()
+    for i in range(len(sets)):
+        c = code[edge[i] : edge[i + 1]]
+        if not len(c):
+            continue
+        both = np.bincount(np.concatenate([holder[first[x] : first[x + 1]] for x in c]), minlength=len(sets))
+        near = both >= likeness * (size + size[i] - both) - 1e-9
+        near[i] = False
+        j = np.flatnonzero(near if one_side else near & (side != side[i]))
+        yield np.full(len(j), i), j
+
+
+def exact_links(members: DataFrame, words: int, likeness: float) -> DataFrame:
+    """Edges (a, b) of a forest that connects what pairs of one root with an exact shingle similarity of at least `likeness` connect.
+
+    members: id, root and text. Every pair of a root is compared, in tiles of bounded size.
+    """
+
+    def run(batches):
+        for pdf in whole_groups(batches, ["root", "tile"]):
+            a, b = [], []
+            for lo, hi in group_slices(pdf["root"].to_numpy(), pdf["tile"].to_numpy()):
+                part = pdf.iloc[lo:hi]
+                ids, parent = part["id"].to_numpy(np.int64), np.arange(hi - lo)
+                sets = [shingle_set(t, words) for t in part["text"]]
+                for i, j in alike(sets, part["side"].to_numpy(), likeness):
+                    union_pairs(parent, i, j)
+                tied = np.flatnonzero(parent != np.arange(len(ids)))
+                a.append(ids[parent[tied]])
+                b.append(ids[tied])
+            yield pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    dealt = tiled(members, ["root"], "id", EXACT_TILE)
+    width = shuffle_width(members.sparkSession)
+    return dealt.repartition(width, "root", "tile").sortWithinPartitions("root", "tile").mapInPandas(run, "a long, b long")
+
+
+def search_bound(likeness: float, views: int) -> int:
+    """Bits of all views by which texts of that shingle similarity differ, and three standard deviations more."""
+    share = float(np.arccos(2 * likeness / (1 + likeness)) / np.pi)
+    return int(64 * views * share + 3 * (64 * views * share * (1 - share)) ** 0.5)
+
+
 def deduplicated(docs: DataFrame, words: int = 5, likeness: float = 0.8, radius: int = 11) -> DataFrame:
     """One row of each group of near copies: that of the smallest doc_id; all columns of docs stay.
 
-    Two views of 64 bits each are taken of a text's word shingles. Documents link when
-    the share of equal bits of both views is at least `likeness` and the first view
-    differs by at most `radius` bits, which the trees search exactly. At the default
-    that finds about nine in ten pairs of a shingle similarity of exactly 0.8, nearly all
-    above 0.85, and no unrelated ones: those agree in half of the bits.
+    Documents link when their sets of word shingles have a Jaccard similarity of at
+    least `likeness`, which is computed exactly; links close transitively. Pairs to
+    compare come from VIEWS fingerprints of 64 bits of each set: those that differ by at
+    most `radius` bits in any view and by no more than search_bound() in all, which the
+    trees search exactly, and all pairs of the groups that these connect.
 
     Texts without words are one group. Null ids come last; of rows that agree in their
     id the first written one stays. Repeated rows are copies; no rows give no rows.
     """
-    views = F.arrow_udf(_views(words), "fp long, check long")
+    names = ["id", *(f"v{k}" for k in range(VIEWS))]
+    views = F.arrow_udf(_views(words, names), ", ".join(f"{c} long" for c in names))
     tagged = docs.select(F.struct(*docs.columns).alias("doc"), views(F.col("text")).alias("v"), F.monotonically_increasing_id().alias("row"))
     tagged = materialize(tagged.select("doc", "v.*", "row"), "tagged")
     first = F.struct(F.col("doc.doc_id").isNull().alias("n"), F.col("doc.doc_id").alias("d"), F.col("row").alias("r"))
-    slim = tagged.select("fp", "check", first.alias("who"))
-    classes = materialize(slim.groupBy("fp").agg(F.min("check").alias("check"), F.min("who").alias("who")), "classes")
-    most = int((1 - likeness) * 128 + 1e-9)
-    roots = components_of(classes, radius, leaf=WIDE_LEAF, most=most)
-    grouped = materialize(roots.join(classes, "fp"), "grouped")
+    slim = tagged.select("id", *names[1:], first.alias("who"))
+    # rows of one id have one shingle set, and so the same views
+    classes = slim.groupBy("id").agg(*(F.min(c).alias(c) for c in names[1:]), F.min("who").alias("who"))
+    classes = materialize(classes, "classes")
+    found = materialize(near_candidates(classes, radius, search_bound(likeness, VIEWS)), "candidates")
+    roots = connected_components(found).withColumnsRenamed({"node": "id", "component": "root"})
+    asked = roots.join(classes.select("id", F.col("who.r").alias("row")), "id")
+    texts = asked.join(tagged.select("row", F.col("doc.text").alias("text")), "row").select("id", "root", "text")
+    links = materialize(exact_links(materialize(texts, "texts"), words, likeness), "links")
+    member = connected_components(links).withColumnsRenamed({"node": "id", "component": "root"})
+    grouped = classes.select("id", "who").join(member, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    grouped = materialize(grouped, "grouped")
     best = grouped.groupBy("root").agg(F.min("who").alias("best"))
-    stays = grouped.join(best, "root").select("fp", F.col("best.r").alias("stays"))
-    gone = slim.join(stays, "fp").where("who.r <> stays").select(F.col("who.r").alias("row"))
+    stays = grouped.join(best, "root").select("id", F.col("best.r").alias("stays"))
+    gone = slim.join(stays, "id").where("who.r <> stays").select(F.col("who.r").alias("row"))
     return tagged.join(gone, "row", "left_anti").select("doc.*")
 
 
-def _views(words: int):
-    """The two views of a text as an Arrow function; texts become Python strings one at a time."""
+def _views(words: int, names: list[str]):
+    """The name and the views of a text's shingle set as an Arrow function; texts become Python strings one at a time."""
 
     def run(texts: pa.Array) -> pa.Array:
-        v = np.array([shingle_fingerprints(t.as_py(), words, 2) for t in texts], np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.StructArray.from_arrays([pa.array(v[:, 0].copy()), pa.array(v[:, 1].copy())], ["fp", "check"])
+        v = np.array([set_views(t.as_py(), words, len(names) - 1) for t in texts], np.uint64).reshape(-1, len(names)).view(np.int64)
+        return pa.StructArray.from_arrays([pa.array(v[:, k].copy()) for k in range(len(names))], names)
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return run
