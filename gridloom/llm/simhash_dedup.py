@@ -25,7 +25,7 @@ from .fingerprint import mixed
 SAMPLE = 8192  #: distinct fingerprints at most that the trees are fitted on
 LEAF = 4096  #: fingerprints that a shard owns, about
 WIDE_LEAF = 16384  #: the same for wide radii, where more shards would mean many more visits
-VIEWS = 2  #: fingerprints of 64 bits that near copies are searched by
+VIEWS = 3  #: fingerprints of 64 bits that near copies are searched by
 EXACT_TILE = 1024  #: texts of one group that are compared at once, about half
 
 
@@ -335,7 +335,9 @@ def deduplicated(docs: DataFrame, words: int = 5, likeness: float = 0.8, radius:
     least `likeness`, which is computed exactly; links close transitively. Pairs to
     compare come from VIEWS fingerprints of 64 bits of each set: those that differ by at
     most `radius` bits in any view and by no more than search_bound() in all, which the
-    trees search exactly, and all pairs of the groups that these connect.
+    trees search exactly, and all pairs of the groups that these connect. By the
+    binomial, sets of a similarity of exactly 0.8 are within 11 bits in a view with
+    chance 0.73, so 98 of 100 such pairs are compared, and more above 0.8.
 
     Texts without words are one group. Null ids come last; of rows that agree in their
     id the first written one stays. Repeated rows are copies; no rows give no rows.
