@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.runtime import ship_package
@@ -23,21 +24,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Only where that is unset (tests, local mode) a folder of this machine is taken.
+    Where that is unset, local mode (tests) takes a folder of this machine; a cluster must set it.
     """
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/gridloom/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and rereads it: the lineage ends in files that outlive executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gridloom/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._gridloom_path = path
@@ -62,6 +70,16 @@ def whole_text(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names for new columns beside those of df: with underscores behind them where df has them already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def hashed_sample(df: DataFrame, *key: str, most: int, rows: int) -> DataFrame:
     """Rows of df, which has `rows`, whose key hashes lowest: all of them up to `most`, else a share that stays below it.
 
@@ -126,15 +144,50 @@ def whole_groups(batches, keys: list[str]):
         yield pd.concat(held, ignore_index=True)
 
 
-def tiled(df: DataFrame, keys: list[str], by: str, cap: int) -> DataFrame:
+def even_keys(n: int) -> list[int]:
+    """n integers, the i-th of which Spark's hash partitioning into n deals to partition i."""
+    k = np.arange(64 * n, dtype=np.uint32)
+    turn = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+    # Murmur3 of one 32-bit integer with seed 42, as Spark's hash() computes it
+    h = turn(k * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593) ^ np.uint32(42)
+    h = (turn(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)) ^ np.uint32(4)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    h ^= h >> np.uint32(16)
+    at = np.mod(h.view(np.int32).astype(np.int64), n)
+    found, first = np.unique(at, return_index=True)
+    return [int(k[f]) for f in first] if len(found) == n else list(range(n))
+
+
+HOT = 1000  #: rows up to which the rows of one key may meet in a task whatever their share
+MANY = 4096  #: keys at most that hold more rows and are broadcast
+
+
+def with_least(rows: DataFrame, key: str, value: str | Column, rows_in_all: int) -> DataFrame:
+    """rows with `m`, the least value of their key; rows of a null key go.
+
+    Keys with over rows_in_all / MANY rows (and HOT), of which there are MANY at most, get theirs by
+    broadcast, so their rows stay where they are; the others meet theirs in a shuffle.
+    """
+    limit = max(HOT, rows_in_all // MANY)
+    least = rows.groupBy(key).agg(F.min(value).alias("m"), F.count(F.lit(1)).alias("_d"))
+    hot = F.broadcast(least.where(F.col("_d") > limit).select(key, "m"))
+    rest = rows.join(hot.drop("m"), key, "left_anti").join(least.where(F.col("_d") <= limit).select(key, "m"), key)
+    return rest.unionByName(rows.join(hot, key))
+
+
+def tiled(df: DataFrame, keys: list[str], by: str, cap: int, sizes: DataFrame | None = None) -> DataFrame:
     """Deals the members of each bucket to square tiles of about cap x cap members.
 
     A bucket of more than `cap` members becomes c = ceil(n / cap) chunks; the tile
     (i, j) with i <= j holds chunks i and j, so each pair of the bucket meets in
     exactly one tile and no task holds more than about 2 * cap members of a bucket.
-    Adds `tile` and `side` (0: chunk i, 1: chunk j). Buckets of one member go.
+    Adds `tile` and `side` (0: chunk i, 1: chunk j). Buckets of one member go. sizes: the
+    members (_n) of each bucket, by a caller who knows them and a bound on the number of
+    buckets; they are broadcast.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    counts = F.broadcast(sizes) if sizes is not None else df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.where("_n > 1")
     parts = F.ceil(F.col("_n") / F.lit(cap)).cast("int")
     return (
         df.join(counts, keys)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import discard, materialize
+from ._base import discard, materialize, with_least
 
 
 def connected_components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -30,11 +30,9 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
             break
         mark = tuple(seen)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.least("m", "a").alias("a"), "b").distinct()
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
+        large = with_least(both, "a", "b", 2 * seen[0]).where("b > a").select(F.least("m", "a").alias("a"), "b").distinct()
         small = (
-            large.join(low, "b")
+            with_least(large, "b", "a", seen[0])
             .select(F.explode(F.array(F.struct("m", F.col("a").alias("y")), F.struct("m", F.col("b").alias("y")))).alias("e"))
             .select(F.col("e.m").alias("a"), F.col("e.y").alias("b"))
             .where("a <> b")
