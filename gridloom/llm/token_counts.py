@@ -1,24 +1,33 @@
 """Token counts from flat token files without an index, by a separator scan.
 
-A token file is a stream of fixed-width little-endian ids in which every document ends
-with an end-of-document id; nothing says where documents lie. Files are read in blocks.
-Each block finds its separators with one vectorised search and reports only its head,
-its tail and the lengths between; a prefix scan over block summaries (within groups of
-blocks, then over the groups) gives what each block carries in, so a document may span
-any number of blocks.
+A token file is a stream of 16-bit little-endian ids in which every document ends with an
+end-of-document id; nothing says where documents lie. Files are read in blocks. Each
+block finds its separators with one vectorised search and reports only its head, its tail
+and the lengths between; a prefix scan over block summaries (within groups of blocks,
+then over the groups) gives what each block carries in, so a document may span any number
+of blocks.
+
+Spark's own text writer makes the files, on any file system it knows: a document's ids
+are a line of raw bytes, and the line separator is the end-of-document id. The same task
+writes the names of its documents, in the same order, to a file of its own, so the two
+belong together whatever became of earlier attempts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 import public_tokenizers
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._base import materialize, read_table, whole_text
-from .bpe import load_ranks
+from ._base import materialize, read_table, scratch, whole_text
+from .bpe import STEP, load_ranks
 
 TOKENIZER = "byte_bpe_50k.tiktoken"  #: ranks, by name among the public tokenizers
 END = 50256  #: the id that ends a document; free in that vocabulary
@@ -27,43 +36,68 @@ GROUP = 1024  #: blocks of a group in the prefix scan
 WIDTH = np.dtype("<u2")
 
 
-def write_token_blocks(docs: DataFrame, path: str, end: int = END, block: int = BLOCK) -> DataFrame:
-    """(file, part, payload, doc_ids): the token stream of each partition in blocks, and the order of its documents.
+@lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(path), special_tokens={})
+
+
+def token_bytes(text: Column, path: str) -> Column:
+    """The 16-bit ids of each text as bytes."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encode = _tokenizer(path).encode_ordinary
+        for texts in batches:
+            for lo in range(0, len(texts), STEP):
+                yield pa.array([np.array(encode(t.as_py()), WIDTH).tobytes() for t in texts.slice(lo, STEP)], pa.binary())
 
-    Rows with a payload are block number `part` of `file`, cut without regard to
-    documents; rows with doc_ids list the documents from number `part` on. Null texts
-    are empty and still end with a separator.
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "binary")(text)
+
+
+def write_token_files(docs: DataFrame, path: str, folder: str, end: int = END) -> None:
+    """Writes folder/kind=tokens/part-<n>..., the token stream of each task, and folder/kind=names/part-<n>..., its documents' ids in order.
+
+    Null texts are empty; every row ends with a separator; a null id is an empty name.
+    Nothing is shuffled. No rows give no files.
     """
-    ranks = load_ranks(path)
+    rows = docs.select("doc_id", whole_text().alias("text")).select(
+        F.monotonically_increasing_id().alias("n"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("name"), token_bytes(F.col("text"), path).cast("string").alias("ids")
+    )
+    line = lambda kind, c: F.struct(F.lit(kind).alias("kind"), F.col(c).alias("value"))
+    lines = rows.select("n", F.explode(F.array(line("names", "name"), line("tokens", "ids"))).alias("l")).select("n", "l.*").sortWithinPartitions("kind", "n")
+    lines.select("kind", "value").write.partitionBy("kind").option("encoding", "ISO-8859-1").option("lineSep", _mark(end)).text(folder)
 
-    def run(batches):
-        import tiktoken
-        from pyspark import TaskContext
 
-        tokenizer = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        file, number, blocks, held = TaskContext.get().partitionId(), 0, 0, b""
-        for pdf in batches:
-            rows = []
-            for text in pdf["text"]:
-                held += np.array([*tokenizer.encode_ordinary(text), end], WIDTH).tobytes()
-                while len(held) >= block:
-                    rows.append((file, blocks, held[:block], None))
-                    held, blocks = held[block:], blocks + 1
-            rows.append((file, number, None, [None if pd.isna(d) else int(d) for d in pdf["doc_id"]]))
-            number += len(pdf)
-            yield pd.DataFrame(rows, columns=["file", "part", "payload", "doc_ids"])
-        if held:
-            yield pd.DataFrame([(file, blocks, held, None)], columns=["file", "part", "payload", "doc_ids"])
+def _mark(end: int) -> str:
+    return int(end).to_bytes(WIDTH.itemsize, "little").decode("latin-1")
+
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInPandas(run, "file long, part long, payload binary, doc_ids array<long>")
+def _part() -> Column:
+    """The number of the task that wrote a file."""
+    return F.regexp_extract("path", r"/part-([0-9]+)-[^/]*$", 1).try_cast("long")
+
+
+def document_names(spark, folder: str, end: int = END) -> DataFrame:
+    """(file, number, doc_id): the documents of each token file in order, from the files that write_token_files() puts beside them."""
+    names = F.split(F.decode("content", "ISO-8859-1"), f"\\Q{_mark(end)}\\E", -1)
+    # every name is followed by a mark, so the last piece is none
+    found = spark.read.format("binaryFile").load(f"{folder}/kind=names").select(_part().alias("file"), F.posexplode(F.slice(names, F.lit(1), F.size(names) - 1)).alias("number", "name"))
+    return found.select("file", F.col("number").cast("long").alias("number"), F.col("name").try_cast("long").alias("doc_id"))
 
 
 def flat_files(spark, path: str, block: int = BLOCK) -> DataFrame:
-    """(file, part, payload) of the flat token files under a path, read by Spark; file is the file's path."""
+    """(file, part, payload) of the flat token files under a path, read by Spark; file is the file's path.
+
+    A file is one row of Spark's reader before it is cut into blocks, so files of 2 GiB or
+    more must be cut before. Empty files give no rows.
+    """
     size = F.length("content")
     parts = F.sequence(F.lit(0), F.greatest(F.ceil(size / block).cast("int") - 1, F.lit(0)))
     cut = F.transform(parts, lambda i: F.struct(i.cast("long").alias("part"), F.substring("content", i * block + 1, F.lit(block)).alias("payload")))
-    return spark.read.format("binaryFile").load(path).where("length > 0").select(F.col("path").alias("file"), F.explode(cut).alias("b")).select("file", "b.*")
+    found = spark.read.format("binaryFile").load(path).where("length > 0")
+    return found.select(F.col("path").alias("file"), F.explode(cut).alias("b")).select("file", "b.*")
 
 
 def block_summaries(blocks: DataFrame, end: int = END, width: np.dtype = WIDTH) -> DataFrame:
@@ -118,16 +152,20 @@ def document_lengths(summaries: DataFrame, group: int = GROUP) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, file, number) of every row of docs, counted in its token files.
+    """(doc_id, n_tokens, file, number) of every row of docs, counted in the flat token files written from them.
 
-    Null texts are empty and count 0; null ids and repeated rows keep their rows; an
-    empty table gives none; extra columns are not read.
+    Null texts are empty and count 0; null ids and repeated rows keep their rows; an empty
+    table gives none; a text of any length is counted whole; extra columns are not read.
+    file is the number of the task that wrote a row, number its place in the file.
     """
-    written = materialize(write_token_blocks(docs, path), "token-files")
-    order = written.where("doc_ids is not null").select("file", "part", F.posexplode("doc_ids").alias("at", "doc_id"))
-    order = order.select("file", (F.col("part") + F.col("at")).alias("number"), "doc_id")
-    found = document_lengths(materialize(block_summaries(written.where("payload is not null")), "block-summaries"))
-    return order.join(found, ["file", "number"]).select("doc_id", "n_tokens", "file", "number")
+    spark = docs.sparkSession
+    if docs.isEmpty():
+        return docs.select("doc_id", *(F.lit(0).cast("long").alias(c) for c in ("n_tokens", "file", "number")))
+    folder = scratch(spark, "token-files")
+    write_token_files(docs, path, folder)
+    blocks = flat_files(spark, f"{folder}/kind=tokens").withColumnRenamed("file", "path").withColumn("file", _part()).drop("path")
+    found = document_lengths(materialize(block_summaries(blocks), "block-summaries"))
+    return document_names(spark, folder).join(found, ["file", "number"]).select("doc_id", "n_tokens", "file", "number")
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -445,12 +445,15 @@ def test_token_files_hold_the_library_ids(spark, tmp_path):
     enc = token_counts._tokenizer(path)
     rng = random.Random(20)
     texts = [" ".join(words(rng, rng.randint(0, 40))) + rng.choice(["", "é中😀", "\n\r\n"]) for _ in range(90)]
-    docs = frame(spark, [(i, t, "a") for i, t in enumerate(texts)])
-    token_counts.write_token_files(docs, path, f"{tmp_path}/t", 5)
-    place = {r["doc_id"]: (r["file"], r["place"]) for r in token_counts.seats(docs, 5).collect()}
-    for f in range(5):
-        want = [x for i in sorted((i for i in place if place[i][0] == f), key=lambda i: place[i][1]) for x in [*enc.encode_ordinary(texts[i]), END]]
-        (file,) = (tmp_path / "t" / f"file={f}").glob("part-*")
+    docs = frame(spark, [(i, t, "a") for i, t in enumerate(texts)]).repartition(3)
+    token_counts.write_token_files(docs, path, f"{tmp_path}/t")
+    names = {}
+    for r in token_counts.document_names(spark, f"{tmp_path}/t").collect():
+        names.setdefault(r["file"], {})[r["number"]] = r["doc_id"]
+    assert len(names) == 3 and sorted(i for n in names.values() for i in n.values()) == list(range(len(texts)))
+    for f, own in names.items():
+        want = [x for k in sorted(own) for x in [*enc.encode_ordinary(texts[own[k]]), END]]
+        (file,) = (tmp_path / "t/kind=tokens").glob(f"part-{f:05d}-*")
         assert np.frombuffer(file.read_bytes(), "<u2").tolist() == want
     got = {r["doc_id"]: r["n_tokens"] for r in token_counts.token_counts(docs, path).collect()}
     assert got == {i: len(enc.encode_ordinary(t)) for i, t in enumerate(texts)}
