@@ -15,6 +15,7 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,7 @@ from ._base import read_table, shuffle_width
 OPEN, SPLIT, CLOSE = b"### ", b": ", b" </turn>\n"
 SPECIAL = np.zeros(256, bool)
 SPECIAL[list(b"\\#<")] = True
+MOST_BYTES = 1 << 30  #: formatted bytes of a buffer that holds more than one conversation
 SCHEMA = "conv_id long, n_turns long, formatted string, loss_starts array<int>, loss_ends array<int>"
 
 _BODY = rb"[^\\#<]*(?:\\.[^\\#<]*)*"
@@ -51,6 +53,36 @@ def role_header(role: str) -> bytes:
     return OPEN + re.sub(rb"([\\#<:])", rb"\\\1", role.encode("utf-8", "surrogatepass")) + SPLIT
 
 
+def _first_turns(conv: pa.Array) -> np.ndarray:
+    """Where a conversation begins, in rows that lie conversation by conversation; nulls are one id."""
+    ids = conv.fill_null(0).to_numpy(zero_copy_only=False)
+    null = conv.is_null().to_numpy(zero_copy_only=False)
+    new = np.ones(len(ids), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (null[1:] != null[:-1])
+    return np.flatnonzero(new)
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    column = column.combine_chunks()
+    if isinstance(column, pa.ChunkedArray):
+        column = column.chunk(0) if column.num_chunks else pa.array([], column.type)
+    return column
+
+
+def bounded(table: pa.Table, most: int = MOST_BYTES):
+    """table in slices of whole conversations, each of `most` formatted bytes at the outside (escapes double a text) or one conversation."""
+    size = 2 * (pc.binary_length(_one(table["text"]).fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64))
+    size += 2 * pc.binary_length(_one(table["role"]).fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64) + len(OPEN + SPLIT + CLOSE)
+    first = _first_turns(_one(table["conv_id"]))
+    whole, start, run = np.add.reduceat(size, first), 0, 0
+    for k, n in enumerate(whole):
+        if run and run + n > most:
+            yield table.slice(first[start], first[k] - first[start])
+            start, run = k, 0
+        run += n
+    yield table.slice(first[start])
+
+
 def assemble(table: pa.Table) -> pa.RecordBatch:
     """One row per conversation of a table whose rows lie conversation by conversation, in turn order."""
     n = table.num_rows
@@ -75,15 +107,13 @@ def assemble(table: pa.Table) -> pa.RecordBatch:
     place = np.arange(len(data)) + np.repeat(text_at - at[:-1] - extra[at[:-1]], at[1:] - at[:-1]) + extra[1:]
     out[place] = data
     out[place[special] - 1] = ord("\\")
-    conv = table["conv_id"].combine_chunks()
-    ids = conv.fill_null(0).to_numpy(zero_copy_only=False)
-    null = conv.is_null().to_numpy(zero_copy_only=False)
-    new = np.ones(n, bool)
-    new[1:] = (ids[1:] != ids[:-1]) | (null[1:] != null[:-1])
-    first = np.flatnonzero(new)
+    if start[-1] >= 2**31:
+        raise ValueError("a conversation of 2 GiB or more does not fit a cell")
+    conv = _one(table["conv_id"])
+    first = _first_turns(conv)
     conv_at = start[:-1][first]
     ends = np.append(conv_at, start[-1])
-    which = np.cumsum(new) - 1
+    which = np.repeat(np.arange(len(first)), np.diff(np.append(first, n)))
     loss = np.flatnonzero(np.array([r == "assistant" for r in names], bool)[role])
     loss_at = np.concatenate([[0], np.cumsum(np.bincount(which[loss], minlength=len(first)))]).astype(np.int32)
     lists = [
@@ -105,7 +135,9 @@ def format_chats(turns: DataFrame) -> DataFrame:
     rows with a null conv_id form one conversation of that null id, null turns come
     first. The loss mask holds byte ranges of the escaped texts of role `assistant`.
     Conversations spread over all tasks by their id; one conversation is one cell and so
-    one task. No rows give no rows.
+    one task, and one of 2 GiB or more when formatted, which no cell can hold, is an
+    error. Buffers are cut between conversations before their 32-bit offsets run out. No
+    rows give no rows.
     """
 
     def run(batches):
@@ -115,13 +147,13 @@ def format_chats(turns: DataFrame) -> DataFrame:
             held = table if held is None else pa.concat_tables([held, table])
             ids = held["conv_id"]
             last = ids[len(ids) - 1]
-            same = ids.is_null() if not last.is_valid else pa.compute.fill_null(pa.compute.equal(ids, last), False)
-            cut = len(ids) - pa.compute.sum(same).as_py()
+            same = ids.is_null() if not last.is_valid else pc.fill_null(pc.equal(ids, last), False)
+            cut = len(ids) - pc.sum(same).as_py()
             if cut:
-                yield assemble(held.slice(0, cut).combine_chunks())
+                yield from map(assemble, bounded(held.slice(0, cut).combine_chunks()))
                 held = held.slice(cut)
         if held is not None and held.num_rows:
-            yield assemble(held.combine_chunks())
+            yield from map(assemble, bounded(held.combine_chunks()))
 
     dealt = (
         turns.select(F.col("conv_id").cast("long"), "turn", "role", "text")
@@ -179,5 +211,5 @@ def op6_chat_format(spark, sf_dir: str) -> DataFrame:
     """Query: digests, read back from the formatted output, of every conversation and of conversation -7."""
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
-    extra = spark.sql("SELECT -7L AS conv_id, turn, role, text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role) CROSS JOIN (SELECT :said AS text)", args={"said": said})
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return digests(format_chats(turns.unionByName(extra)))
