@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import group_slices, materialize, read_table, shuffle_width, tiled, whole_groups, whole_text
+from ._base import even_keys, group_slices, materialize, read_table, shuffle_width, tiled, whole_groups, whole_text
 
 TILE = 4096  #: fingerprints a side of a tile holds, about
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
@@ -107,10 +107,12 @@ def with_follower(docs: DataFrame) -> DataFrame:
     if facts["nulls"]:
         leads = leads | F.lit(False)
     seats = F.when(first, F.array(own, end)).when(leads, F.array(own, seat(F.col("_b") - 1, 1))).otherwise(F.array(own))
+    # a bucket travels under a number that hash partitioning deals to a partition of its own
+    keys = F.array(*[F.lit(k) for k in even_keys(parts)])
     return (
         docs.withColumn("_b", bucket)
         .withColumn("_s", F.explode(seats))
-        .select("_s.bucket", "_s.guest", "doc_id", "text")
+        .select(F.element_at(keys, F.col("_s.bucket") + 1).alias("bucket"), "_s.guest", "doc_id", "text")
         .repartition(parts, "bucket")
         .sortWithinPartitions("bucket", "guest", "doc_id", "text")
     )
@@ -154,8 +156,9 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
 def near_fingerprints(fps: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
     """(fp, n_near): for each fingerprint how many other distinct ones lie within the radius; those without any are absent.
 
-    fps: one long column `fp`, distinct. Every pair within the radius counts once, in the
-    first of its tables; no pair list is made, and large buckets are split into tiles.
+    fps: one long column `fp`, distinct and not null. Every pair within the radius counts
+    once, in the first of its tables; no pair list is made, and large buckets are split
+    into tiles. An empty table gives no rows.
     """
     width = 64 // blocks
     edges = [(k * width, 64 if k == blocks - 1 else (k + 1) * width) for k in range(blocks)]
