@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._base import read_table, whole_text
+from ._base import free_names, read_table, whole_text
 
 RANKS = "byte_bpe_multi_50k.tiktoken"  #: file of ranks, by its name among the public tokenizers
 REMEMBERED = 150_000  #: words that a task keeps with their ids, in each of two generations
@@ -150,12 +150,13 @@ class WordEncoder:
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """docs with `ids`, the token ids of the whole text.
+    """docs with `ids`, the token ids of the whole text, as the last column.
 
-    Null and empty texts have no ids; repeated rows, ties and further columns make no
-    difference; a piece of any length costs n log n.
+    Null and empty texts have no ids; repeated rows and ties make no difference; no rows
+    give no rows; a piece of any length costs n log n. Columns of docs stay, and where
+    one is called ids, the new one is called ids_ (see free_names).
     """
-    ranks = load_ranks(path)
+    ranks, (name,) = load_ranks(path), free_names(docs, "ids")
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = WordEncoder(ranks)
@@ -166,7 +167,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return docs.withColumn("ids", F.arrow_udf(run, "array<int>")(whole_text()))
+    return docs.withColumn(name, F.arrow_udf(run, "array<int>")(whole_text()))
 
 
 def decoded(ids: Column, path: str) -> Column:

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._base import read_table, whole_text
+from ._base import free_names, read_table, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -217,14 +217,16 @@ def train(docs: DataFrame) -> np.ndarray:
 
 
 def find_spans(docs: DataFrame, weights: np.ndarray, cut: float = 0.5) -> DataFrame:
-    """docs with `base` and `spans`: base spans, and those with the added ones, by start, then kind.
+    """docs with `base` and `spans`, the last columns: base spans, and those with the added ones, by start, then kind.
 
     Spans are structs (kind, start, end) in code points, end exclusive; kind indexes
-    KINDS. A null text has no spans. Other columns stay, but for earlier ones named base
-    or spans. An added span overlaps no base span and no added span before it.
+    KINDS. Null and empty texts have no spans; repeated rows have the same ones; no rows
+    give no rows. Columns of docs stay, and where one is called base or spans, the new
+    one has an underscore behind its name (see free_names). An added span overlaps no
+    base span and no added span before it.
     """
-    names = [c for c in docs.columns if c not in ("base", "spans")]
-    docs = candidates(docs.select(F.struct(*names).alias("row"), whole_text().alias("_text")), "_text")
+    base_name, spans_name = free_names(docs, "base", "spans")
+    docs = candidates(docs.select(F.struct(*docs.columns).alias("row"), whole_text().alias("_text")), "_text")
     limit = float(np.log(cut / (1 - cut)))
     good = F.filter(F.transform("more", lambda x: _voted("_text", x)), lambda x: _logit(x, weights) >= limit)
     slim = lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))
@@ -241,7 +243,7 @@ def find_spans(docs: DataFrame, weights: np.ndarray, cut: float = 0.5) -> DataFr
     docs = docs.withColumn("_added", first)
     order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"])
     both = F.when(F.size("_added") == 0, F.col("base")).otherwise(F.array_sort(F.concat("base", "_added"), order))
-    return docs.select("row.*", "base", both.alias("spans"))
+    return docs.select("row.*", F.col("base").alias(base_name), both.alias(spans_name))
 
 
 def span_list(col: str) -> Column:
