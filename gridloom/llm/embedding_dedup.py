@@ -23,7 +23,7 @@ from .components import connected_components
 
 BUCKET = 1024  #: vectors that a bucket should hold on average
 TILE = 4096  #: signatures a side of a tile holds, about
-VECTORS = 1024  #: vectors a side of a tile holds, about
+VECTORS = 256  #: vectors a side of a tile holds, about
 MISS = 0.002  #: chance allowed to miss a pair exactly at the threshold
 SIGNS = 128  #: of a signature at least
 SPREAD = 5  #: standard deviations by which a pair's signatures may differ more than expected

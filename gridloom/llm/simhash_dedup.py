@@ -5,7 +5,8 @@ blocks up to radius // blocks bits (pigeonhole). For each block a vantage-point
 fitted on a bounded sample, splits the fingerprints by Hamming distance of the block
 to a vantage value; a fingerprint visits every shard whose ball it may overlap by the
 triangle inequality and owns exactly one. Each shard compares its owners with all its
-visitors exactly. What leaves a shard is a spanning forest of the links, never the
+visitors exactly, in tiles of bounded size, so a shard that a common block makes large is
+shared by many tasks. What leaves a tile is a spanning forest of the links, never the
 pairs, so dense groups of near copies cost rows in proportion to their size.
 """
 
@@ -18,12 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import group_slices, hashed_sample, materialize, read_table, shuffle_width, tiled, union_pairs, whole_groups
+from ._base import group_slices, hashed_sample, materialize, read_table, shuffle_width, tiled, union_pairs, whole_groups, with_least
 from .components import connected_components
 from .fingerprint import mixed
 
-SAMPLE = 8192  #: distinct fingerprints at most that the trees are fitted on
+SAMPLE = 65536  #: distinct fingerprints at most that the trees are fitted on
+DEPTH = 14  #: levels of a tree at most, so there are 2^14 shards of a block at most
 LEAF = 4096  #: fingerprints that a shard owns, about
+SHARD_TILE = 32768  #: fingerprints that a side of a tile of a shard holds, about
 WIDE_LEAF = 16384  #: the same for wide radii, where more shards would mean many more visits
 VIEWS = 3  #: fingerprints of 64 bits that near copies are searched by
 EXACT_TILE = 1024  #: texts of one group that are compared at once, about half
@@ -119,12 +122,14 @@ class VantageTree:
                 continue
             best = None
             for v in rng.choice(own, min(16, len(own)), replace=False):
-                d = np.bitwise_count(own ^ v).astype(np.int64)
-                for ball in np.unique(d):
-                    inside = np.count_nonzero(d - radius <= ball)
-                    outside = np.count_nonzero(d + radius > ball)
-                    if best is None or max(inside, outside) < best[0]:
-                        best = (max(inside, outside), v, ball)
+                upto = np.cumsum(np.bincount(np.bitwise_count(own ^ v), minlength=65))
+                ball = np.arange(65)
+                inside = upto[np.minimum(ball + radius, 64)]
+                outside = len(own) - np.where(ball >= radius, upto[np.maximum(ball - radius, 0)], 0)
+                most = np.maximum(inside, outside)
+                at = int(most.argmin())
+                if best is None or most[at] < best[0]:
+                    best = (most[at], v, at)
             _, self.vantage[node], self.ball[node] = best
             near = np.bitwise_count(own ^ best[1]) <= best[2]
             members[2 * node + 1], members[2 * node + 2] = own[near], own[~near]
@@ -151,23 +156,49 @@ def _block(values: np.ndarray, k: int, blocks: int) -> np.ndarray:
     return (values >> np.uint64(k * width)) & mask
 
 
-def _links(own: np.ndarray, at: np.ndarray, block: np.ndarray, radius: int, within: int):
-    """Pairs (i, j) of positions in `own` (those in `at` against all) within radius; `within` bits in the block."""
-    for lo in range(0, len(at), 256):
-        a = at[lo : lo + 256]
-        for left in range(0, len(own), 16384):
-            close = np.bitwise_count(block[a][:, None] ^ block[None, left : left + 16384]) <= within
-            i, j = np.nonzero(close)
-            i, j = a[i], j + left
+def _links(own: np.ndarray, at: np.ndarray, to: np.ndarray, block: np.ndarray, radius: int, within: int):
+    """Pairs (i, j) of positions in `own` (those in `at` against those in `to`) within radius; `within` bits in the block."""
+    for left in range(0, len(to), 16384):
+        b = to[left : left + 16384]
+        for lo in range(0, len(at), 256):
+            a = at[lo : lo + 256]
+            i, j = np.nonzero(np.bitwise_count(block[a][:, None] ^ block[None, b]) <= within)
+            i, j = a[i], b[j]
             keep = np.bitwise_count(own[i] ^ own[j]) <= radius
             yield i[keep], j[keep]
 
 
+def _meetings(owner: np.ndarray, side: np.ndarray):
+    """(at, to) positions whose pairs a tile compares: of each pair at least one owner; where there are two sides, pairs across them."""
+    if (side == side[0]).all():
+        yield np.flatnonzero(owner), np.arange(len(owner))
+    else:
+        yield np.flatnonzero(owner & (side == 0)), np.flatnonzero(side == 1)
+        yield np.flatnonzero(owner & (side == 1)), np.flatnonzero(~owner & (side == 0))
+
+
+def _in_tiles(rows: DataFrame, deal, kind: str, by: str, join) -> DataFrame:
+    """join() of every tile of every shard that deal() sends rows to.
+
+    The shards are numbered and bounded (2^DEPTH for each tree), so their sizes, from a
+    pass of their own over the rows, are broadcast.
+    """
+
+    def count(batches):
+        for pdf in deal(batches):
+            shard, n = np.unique(pdf["shard"].to_numpy(), return_counts=True)
+            yield pd.DataFrame({"shard": shard, "n": n})
+
+    sizes = rows.mapInPandas(count, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("_n"))
+    dealt = tiled(rows.mapInPandas(deal, kind), ["shard"], by, SHARD_TILE, materialize(sizes, "shards"))
+    return dealt.groupBy("shard", "tile").applyInPandas(join, "a long, b long")
+
+
 def _trees(fps: DataFrame, n: int, col: str, within: int, blocks: int, leaf: int) -> list[VantageTree]:
     some = hashed_sample(fps.select(col), col, most=SAMPLE, rows=n).collect()
     sample = np.sort(np.array([r[0] for r in some], np.int64)).view(np.uint64)
     depth = 0
-    while leaf * 2**depth < n and depth < 16:
+    while leaf * 2**depth < n and depth < DEPTH:
         depth += 1
     return [VantageTree(_block(sample, k, blocks), depth, within, k) for k in range(blocks)]
 
@@ -175,8 +206,10 @@ def _trees(fps: DataFrame, n: int, col: str, within: int, blocks: int, leaf: int
 def hamming_forest(fps: DataFrame, radius: int = 4, blocks: int = 4, leaf: int = LEAF) -> DataFrame:
     """Edges (a, b) of a forest that connects exactly what links of at most `radius` bits connect.
 
-    fps: a long column `fp` of distinct fingerprints. All links are searched; the sample
-    of at most SAMPLE fingerprints decides only where the trees split.
+    fps: a long column `fp` of distinct fingerprints, none of them null. All links are
+    searched; the sample of at most SAMPLE fingerprints decides only where the trees
+    split, and shards that stay large are compared in more tiles. An empty table gives no
+    rows.
     """
     within = radius // blocks
     trees = _trees(fps, fps.count(), "fp", within, blocks, leaf)
@@ -193,13 +226,13 @@ def hamming_forest(fps: DataFrame, radius: int = 4, blocks: int = 4, leaf: int =
         own = pdf["fp"].to_numpy(np.int64).view(np.uint64)
         part = _block(own, int(pdf["shard"].iloc[0]) % blocks, blocks).astype(narrow)
         parent = np.arange(len(own))
-        for i, j in _links(own, np.flatnonzero(pdf["owner"].to_numpy()), part, radius, within):
-            union_pairs(parent, i, j)
+        for at, to in _meetings(pdf["owner"].to_numpy(bool), pdf["side"].to_numpy()):
+            for i, j in _links(own, at, to, part, radius, within):
+                union_pairs(parent, i, j)
         tied = np.flatnonzero(parent != np.arange(len(own)))
         return pd.DataFrame({"a": own[parent[tied]].view(np.int64), "b": own[tied].view(np.int64)})
 
-    visits = fps.select("fp").mapInPandas(deal, "shard long, fp long, owner boolean")
-    return visits.groupBy("shard").applyInPandas(join, "a long, b long")
+    return _in_tiles(fps.select("fp"), deal, "shard long, fp long, owner boolean", "fp", join)
 
 
 def components_of(classes: DataFrame, radius: int, **options) -> DataFrame:
@@ -219,15 +252,14 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4) -> Data
     """
     marked = materialize(fingerprints(docs, words), "fingerprints")
     classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    grouped = components_of(classes, radius).join(classes, "fp")
-    least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = materialize(grouped.join(least, "root").select("fp", "component_id"), "named")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    grouped = materialize(components_of(classes, radius).join(classes, "fp"), "grouped")
+    named = with_least(grouped, "root", "rep", grouped.count()).select("fp", F.col("m").alias("component_id"))
+    return marked.join(materialize(named, "named"), "fp").select("doc_id", "fp", "component_id")
 
 
-def _probed(block: np.ndarray, at: np.ndarray, within: int, most: int = 1 << 20):
-    """Pairs (i, j), i in `at`, of 16-bit blocks that differ by at most `within` bits, `most` pairs at a time."""
-    order = np.argsort(block, kind="stable")
+def _probed(block: np.ndarray, at: np.ndarray, to: np.ndarray, within: int, most: int = 1 << 20):
+    """Pairs (i, j), i in `at` and j in `to`, of 16-bit blocks that differ by at most `within` bits, `most` pairs at a time."""
+    order = to[np.argsort(block[to], kind="stable")]
     start = np.searchsorted(block[order], np.arange(65537))
     masks = np.arange(65536)
     for mask in masks[np.bitwise_count(masks) <= within]:
@@ -241,14 +273,15 @@ def _probed(block: np.ndarray, at: np.ndarray, within: int, most: int = 1 << 20)
             yield at[who[g]], order[start[to[who[g]]] + pair - total[g] + k[g]]
 
 
-def near_candidates(classes: DataFrame, radius: int, most: int, leaf: int = WIDE_LEAF) -> DataFrame:
-    """Edges (a, b) of a forest that connects what links connect: any view within `radius` bits and all within `most` together.
+def near_candidates(classes: DataFrame, within: int, most: int, leaf: int = WIDE_LEAF) -> DataFrame:
+    """Edges (a, b) of a forest that connects what links connect: any block of 16 bits of any view within `within` bits, and all views within `most` together.
 
-    classes: id and the views v0, v1 and so on. Each view has its own trees. All links are searched.
+    classes: id, unique, and the views v0, v1 and so on, none of them null. Each block of
+    each view has its own tree. All links are searched. No rows give no rows.
     """
     names = [c for c in classes.columns if c.startswith("v")]
     blocks = 4  # of 16 bits, which _probed() takes
-    n, within = classes.count(), radius // blocks
+    n = classes.count()
     trees = [t for c in names for t in _trees(classes, n, c, within, blocks, leaf)]
     kinds = len(trees)
 
@@ -265,17 +298,15 @@ def near_candidates(classes: DataFrame, radius: int, most: int, leaf: int = WIDE
         k = int(pdf["shard"].iloc[0]) % kinds
         own = view[k // blocks]
         parent = np.arange(len(ids))
-        for i, j in _probed(_block(own, k % blocks, blocks), np.flatnonzero(pdf["owner"].to_numpy()), within):
-            near = np.bitwise_count(own[i] ^ own[j]) <= radius
-            i, j = i[near], j[near]
-            near = sum(np.bitwise_count(v[i] ^ v[j]).astype(np.int64) for v in view) <= most
-            union_pairs(parent, i[near], j[near])
+        for at, to in _meetings(pdf["owner"].to_numpy(bool), pdf["side"].to_numpy()):
+            for i, j in _probed(_block(own, k % blocks, blocks), at, to, within):
+                near = sum(np.bitwise_count(v[i] ^ v[j]).astype(np.int64) for v in view) <= most
+                union_pairs(parent, i[near], j[near])
         tied = np.flatnonzero(parent != np.arange(len(ids)))
         return pd.DataFrame({"a": ids[parent[tied]], "b": ids[tied]})
 
     kind = ", ".join(f"{c} long" for c in ("id", *names, "shard")) + ", owner boolean"
-    visits = classes.select("id", *names).mapInPandas(deal, kind)
-    return visits.groupBy("shard").applyInPandas(join, "a long, b long")
+    return _in_tiles(classes.select("id", *names), deal, kind, "id", join)
 
 
 def alike(sets: list[np.ndarray], side: np.ndarray, likeness: float):
@@ -328,16 +359,17 @@ def search_bound(likeness: float, views: int) -> int:
     return int(64 * views * share + 3 * (64 * views * share * (1 - share)) ** 0.5)
 
 
-def deduplicated(docs: DataFrame, words: int = 5, likeness: float = 0.8, radius: int = 11) -> DataFrame:
+def deduplicated(docs: DataFrame, words: int = 5, likeness: float = 0.8, within: int = 1) -> DataFrame:
     """One row of each group of near copies: that of the smallest doc_id; all columns of docs stay.
 
     Documents link when their sets of word shingles have a Jaccard similarity of at
     least `likeness`, which is computed exactly; links close transitively. Pairs to
-    compare come from VIEWS fingerprints of 64 bits of each set: those that differ by at
-    most `radius` bits in any view and by no more than search_bound() in all, which the
-    trees search exactly, and all pairs of the groups that these connect. By the
-    binomial, sets of a similarity of exactly 0.8 are within 11 bits in a view with
-    chance 0.73, so 98 of 100 such pairs are compared, and more above 0.8.
+    compare come from VIEWS fingerprints of 64 bits of each set: those with a block of 16
+    bits that differs by at most `within` bits and with no more than search_bound() bits
+    different in all, which the trees search exactly, and all pairs of the groups that
+    these connect. By the binomial, sets of a similarity of exactly 0.8 are within one
+    bit in a block with chance 0.28 and so in any of 12 with chance 0.98: 98 of 100 such
+    pairs are compared, and more above 0.8.
 
     Texts without words are one group. Null ids come last; of rows that agree in their
     id the first written one stays. Repeated rows are copies; no rows give no rows.
@@ -351,7 +383,7 @@ def deduplicated(docs: DataFrame, words: int = 5, likeness: float = 0.8, radius:
     # rows of one id have one shingle set, and so the same views
     classes = slim.groupBy("id").agg(*(F.min(c).alias(c) for c in names[1:]), F.min("who").alias("who"))
     classes = materialize(classes, "classes")
-    found = materialize(near_candidates(classes, radius, search_bound(likeness, VIEWS)), "candidates")
+    found = materialize(near_candidates(classes, within, search_bound(likeness, VIEWS)), "candidates")
     roots = connected_components(found).withColumnsRenamed({"node": "id", "component": "root"})
     asked = roots.join(classes.select("id", F.col("who.r").alias("row")), "id")
     texts = asked.join(tagged.select("row", F.col("doc.text").alias("text")), "row").select("id", "root", "text")
@@ -359,10 +391,9 @@ def deduplicated(docs: DataFrame, words: int = 5, likeness: float = 0.8, radius:
     member = connected_components(links).withColumnsRenamed({"node": "id", "component": "root"})
     grouped = classes.select("id", "who").join(member, "id", "left").withColumn("root", F.coalesce("root", "id"))
     grouped = materialize(grouped, "grouped")
-    best = grouped.groupBy("root").agg(F.min("who").alias("best"))
-    stays = grouped.join(best, "root").select("id", F.col("best.r").alias("stays"))
-    gone = slim.join(stays, "id").where("who.r <> stays").select(F.col("who.r").alias("row"))
-    return tagged.join(gone, "row", "left_anti").select("doc.*")
+    # rows that stay: of each component's best class the best row
+    stays = grouped.groupBy("root").agg(F.min("who").alias("best")).select(F.col("best.r").alias("row"))
+    return tagged.join(stays, "row", "left_semi").select("doc.*")
 
 
 def _views(words: int, names: list[str]):

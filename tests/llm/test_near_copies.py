@@ -62,6 +62,6 @@ def test_exact_pairs_equal_brute_force(pairs):
 def test_probed_blocks_equal_brute_force(most):
     block = np.random.default_rng(8).integers(0, 65536, 700).astype(np.uint64) & np.uint64(0x0FF7)
     at = np.arange(0, 700, 3)
-    got = [(int(i), int(j)) for a, b in simhash_dedup._probed(block, at, 2, most) for i, j in zip(a, b, strict=True)]
+    got = [(int(i), int(j)) for a, b in simhash_dedup._probed(block, at, np.arange(700), 2, most) for i, j in zip(a, b, strict=True)]
     want = {(int(i), int(j)) for i in at for j in np.flatnonzero(np.bitwise_count(block ^ block[i]) <= 2)}
     assert len(got) == len(set(got)) and set(got) == want
