@@ -3,6 +3,11 @@
 Every stage takes all rows its predecessor kept and returns the columns of documents;
 the last returns token ids. STAGES can be run one by one, each output written and read
 again, or by run().
+
+In all stages null texts count as empty, null ids and sources keep their rows, further
+columns of docs are not carried on, texts of any length are taken whole, and an empty
+table gives an empty one. Rows that agree in everything are treated alike, but for the
+dedup, which keeps one of them.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity models do not reject."""
+    """Documents that the toxicity models do not reject; without labels of both values, all of them."""
     ship_package(spark)
     scored = toxicity.toxicity_scores(docs, read_table(spark, sf_dir, "labels"), keep=COLUMNS)
     return scored.where("predicted = 0").select(*COLUMNS)
@@ -45,7 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, ids and n_tokens of every row."""
+    """doc_id, source, ids and n_tokens of every row; texts that are null or empty have no ids."""
     ship_package(spark)
     found = bpe.encode_documents(docs.select(*COLUMNS), public_tokenizers.path(bpe.RANKS))
     return found.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"))
@@ -61,7 +66,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each output is written to the shared folder and read again."""
+    """All stages over documents; each output is written to the shared folder and read again. Without documents there are no rows."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
