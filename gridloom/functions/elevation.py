@@ -64,6 +64,28 @@ def scaled(x: Column, nodata: float, scale: float, offset: float) -> Column:
     return F.when(x != F.lit(nodata), x * F.lit(scale) + F.lit(offset))
 
 
+def half_metres_of_sample(x: Column, kind: str, nodata: float | None = None, scale: tuple[float, float] | None = None) -> Column:
+    """Half metres of a raw sample of a raster whose sample type is `kind` (int8 .. uint64, float16 .. float64).
+
+    nodata is compared with the raw sample in its own type: a single-precision sample with
+    the value rounded to single precision. A scale (factor, offset) makes metres in double
+    precision first. Without one, 16-bit integers double and saturate, other integers
+    become void below the void code, and floats are cut.
+    """
+    single = kind in ("float16", "float32")
+    raw = x.cast("float") if single else x
+    gap = F.lit(False) if nodata is None else raw == (F.lit(nodata).cast("float") if single else F.lit(nodata))
+    if scale is not None:
+        half = half_metres_truncated(raw.cast("double") * F.lit(scale[0]) + F.lit(scale[1]))
+    elif kind == "int16":
+        half = F.greatest(F.least(x.cast("int") * 2, F.lit(SHORT_MAX)), F.lit(SHORT_MIN)).cast("smallint")
+    elif kind.startswith("float"):
+        half = half_metres_truncated(raw)
+    else:
+        half = half_metres_of_int(x)
+    return F.when(F.coalesce(gap, F.lit(False)), F.lit(VOID).cast("smallint")).otherwise(half)
+
+
 def coverage_byte(v: Column, scale: float, offset: float) -> Column:
     """A float sample as a coverage byte: invalid heights are 0, others unscaled and clamped to 0..255."""
     code = (v - F.lit(offset)) / F.lit(scale)

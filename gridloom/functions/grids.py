@@ -89,6 +89,39 @@ def grid_span(lo: Column, hi: Column, n: Column) -> Column:
     return F.struct(first.alias("first"), last.alias("last"))
 
 
+def tile_row_span(lo: Column, hi: Column, n: Column) -> Column:
+    """As grid_span, but an empty span is the row that holds the middle, clamped to the tile."""
+    floor0 = lambda x: F.greatest(F.floor(x), F.lit(0)).cast("bigint")
+    start, end = floor0(lo + 0.5 + SNAP), F.least(floor0(hi + 0.5 + SNAP), n)
+    mid = F.least(floor0((lo + hi) * 0.5), F.greatest(n - 1, F.lit(0)))
+    return F.struct(F.when(start < end, start).otherwise(mid).alias("first"), F.when(start < end, end).otherwise(mid + 1).alias("last"))
+
+
+def geo_row_span(lat: Column, north: Column, south: Column, step: Column, height: Column, pixel: Column) -> Column:
+    """Rows of a geographic source under an output row: half an output pixel to both sides of its latitude; null where the source has none."""
+    row = (north - lat) / step
+    half = pixel * 0.5 / step
+    on = (lat <= north) & (lat >= south) & (row >= 0) & (F.floor(row) < height)
+    return F.when(on, sample_span(row - half, row + half, height))
+
+
+def quantised_degrees(v: Column) -> Column:
+    """Degrees in whole millionths, halves away from zero."""
+    return F.round(v * 1_000_000.0).cast("bigint")
+
+
+def tile_rectangle(south: Column, north: Column, west: Column, east: Column, zoom: Column) -> Column:
+    """(x0, x1, y0, y1), both ends included, of the tiles under a box."""
+    return F.struct(lon_to_tile(west, zoom).alias("x0"), lon_to_tile(east, zoom).alias("x1"), lat_to_tile(north, zoom).alias("y0"), lat_to_tile(south, zoom).alias("y1"))
+
+
+def common_rectangle(a: Column, b: Column) -> Column:
+    """What two rectangles (x0, x1, y0, y1) share; null if they share no tile, the first one where the second is null."""
+    top = {k: (F.greatest if k[1] == "0" else F.least)(a[k], b[k]) for k in ("x0", "x1", "y0", "y1")}
+    both = F.when((top["x0"] <= top["x1"]) & (top["y0"] <= top["y1"]), F.struct(*(v.alias(k) for k, v in top.items())))
+    return F.when(b.isNull(), a).otherwise(both)
+
+
 def zigzag(n: Column) -> Column:
     """Signed value of a zig-zag coded integer."""
     return F.shiftright(n, 1).bitwiseXOR(-n.bitwiseAND(1))

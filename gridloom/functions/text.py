@@ -111,6 +111,24 @@ def tile_url(template: Column, z: Column, x: Column, y: Column) -> Column:
     return one
 
 
+def rectangle_urls(template: Column, z: Column, rectangle: Column) -> Column:
+    """(x, y, url) of every tile of a rectangle (x0, x1, y0, y1), row by row."""
+    xs, ys = F.sequence(rectangle["x0"], rectangle["x1"]), F.sequence(rectangle["y0"], rectangle["y1"])
+    one = lambda x, y: F.struct(x.alias("x"), y.alias("y"), tile_url(template, z, x, y).alias("url"))
+    return F.flatten(F.transform(ys, lambda y: F.transform(xs, lambda x: one(x, y))))
+
+
+def degraded_line(z: Column, x: Column, y: Column, reason: Column, filled_zoom: Column) -> Column:
+    return F.format_string("[Degraded] z=%d x=%d y=%d reason=%s filled_from=z%d", z, x, y, reason, filled_zoom)
+
+
+def backfill_line(z: Column, x: Column, y: Column, void: Column, seam: Column, left: Column, filled: Column) -> Column:
+    """The line of a tile with void samples; filled: array of (zoom, n), what each coarser zoom filled."""
+    each = F.array_join(F.transform(filled, lambda f: F.format_string("z%d %d", f["zoom"], f["n"])), ", ")
+    came = F.when(F.size(filled) > 0, F.concat(F.lit(" ("), each, F.lit(")"))).otherwise("")
+    return F.format_string("[Backfill] z=%d x=%d y=%d: %d void px (%d seam), %d filled%s, %d left void", z, x, y, void, seam, void - left, came, left)
+
+
 def failure_class(message: Column) -> Column:
     """Class of a fetch failure by its message."""
     code = F.regexp_extract(message, r"HTTP ([0-9]+)(?:\s|$)", 1).try_cast("int")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 COUNT_TOP = 65535  #: counts saturate there
 ID_RANGE = 65536  #: ids wrap there
+ODD_STEP = 0.01  #: share by which a raster's steps may differ from the first one's
 
 
 def valid_cells(cells: DataFrame) -> DataFrame:
@@ -25,9 +26,13 @@ def max_and_count(cells: DataFrame) -> DataFrame:
 
 
 def contributors(cells: DataFrame) -> DataFrame:
-    """(x, y, ids): ids of the sources of each covered cell in input order, wrapped to 16 bits. One id per source, so lists are bounded by the sources."""
-    listed = F.array_sort(F.collect_list("src"))
-    return valid_cells(cells).groupBy("x", "y").agg(F.transform(listed, lambda s: s % ID_RANGE).alias("ids"))
+    """(x, y, ids): ids of the sources of each covered cell in input order, wrapped to 16 bits.
+
+    cells: src, x, y, raw and `pos`, the place of the source in the input. A source is in a
+    cell once, so lists are bounded by the sources.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("pos", "src")))
+    return valid_cells(cells).groupBy("x", "y").agg(F.transform(listed, lambda s: s["src"] % ID_RANGE).alias("ids"))
 
 
 def csr_offsets(cells: DataFrame, tile: int) -> DataFrame:
@@ -49,17 +54,20 @@ def tile_statistics(cells: DataFrame, tile: int) -> DataFrame:
 
 
 def master_grid(rasters: DataFrame) -> DataFrame:
-    """One row: the union of all extents at the first raster's steps, and how many differ from it by over 1 %.
+    """One row: the union of all extents at the first raster's steps, and n_odd: how many rasters' steps differ from those by over 1 %.
 
     rasters: pos, left, top, step_x, step_y (negative), width, height.
     """
-    first = F.min_by(F.struct("step_x", "step_y"), "pos")
-    box = rasters.agg(
+    # fixed-width values, so the aggregate stays a hash aggregate
+    first = rasters.agg(F.min_by("step_x", "pos").alias("step_x"), F.min_by("step_y", "pos").alias("step_y"))
+    off = lambda c: F.abs(F.col(c) - F.col(f"s.{c}")) / F.abs(F.col(f"s.{c}")) > ODD_STEP
+    box = rasters.alias("r").join(F.broadcast(first).alias("s")).select("r.*", F.struct("s.step_x", "s.step_y").alias("s")).agg(
         F.min("left").alias("left"),
         F.max("top").alias("top"),
         F.max(F.col("left") + F.col("width") * F.col("step_x")).alias("right"),
         F.min(F.col("top") + F.col("height") * F.col("step_y")).alias("bottom"),
-        first.alias("s"),
+        F.any_value("s").alias("s"),
+        F.count_if(off("step_x") | off("step_y")).alias("n_odd"),
     )
     return box.select(
         "left",
@@ -68,6 +76,7 @@ def master_grid(rasters: DataFrame) -> DataFrame:
         F.col("s.step_y").alias("step_y"),
         F.round((F.col("right") - F.col("left")) / F.col("s.step_x")).cast("bigint").alias("width"),
         F.round((F.col("top") - F.col("bottom")) / F.abs(F.col("s.step_y"))).cast("bigint").alias("height"),
+        "n_odd",
     )
 
 
@@ -153,3 +162,22 @@ def on_master_grid(cells: DataFrame, rasters: DataFrame, grid: DataFrame) -> Dat
         tries = F.sequence(low, F.ceil((at + 0.5 - base) / rate) + 1)
         c = c.withColumn(f"m{a}", F.explode(F.when(F.col("exact"), F.array((at - F.round(base)).cast("bigint"))).otherwise(F.filter(tries, lambda k: F.round(base + k * rate) == at))))
     return c.where("mx between 0 and g_width - 1 and my between 0 and g_height - 1").select("src", F.col("mx").alias("x"), F.col("my").alias("y"), "raw", "pos")
+
+
+def pixel_values(tiles: DataFrame, points: DataFrame, tile: int, width: int, height: int, bits: int = 8) -> DataFrame:
+    """points (x, y and more) with `value`: the cell of a tiled raster there; outside it, or where a tile is absent, 0 (65535 for 16 bits).
+
+    tiles: tx, ty and cells (an array, row by row).
+    """
+    blank = ID_RANGE - 1 if bits == 16 else 0
+    at = lambda c: F.when(F.col(c) >= 0, F.floor(F.col(c) / tile))
+    inside = F.col("x").between(0, width - 1) & F.col("y").between(0, height - 1)
+    held = points.withColumns({"_tx": at("x"), "_ty": at("y")}).join(tiles.select(F.col("tx").alias("_tx"), F.col("ty").alias("_ty"), "cells"), ["_tx", "_ty"], "left")
+    cell = F.try_element_at("cells", (F.pmod("y", F.lit(tile)) * tile + F.pmod("x", F.lit(tile)) + 1).cast("int"))
+    return held.withColumn("value", F.when(inside, F.coalesce(cell, F.lit(blank))).otherwise(blank)).drop("_tx", "_ty", "cells")
+
+
+def browser_factors(width):
+    """Overview factors of the browser's export: none up to 2048 pixels; else 4, and 16, 64, ... while width / factor > 256."""
+    powers = F.transform(F.sequence(F.lit(1), F.lit(14)), lambda k: F.pow(F.lit(4.0), k).cast("bigint"))
+    return F.when(width > 2048, F.filter(powers, lambda f: (f == 4) | (F.floor(width / f) > 256))).otherwise(F.array().cast("array<bigint>"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -28,17 +29,20 @@ def column_spans(size: int, left: float, step: float, grid_left: float, grid_ste
 
 
 def assembled(cells: DataFrame, columns: DataFrame, rows: DataFrame) -> DataFrame:
-    """(ox, oy, v): mean of the valid source cells under each output cell, null without any.
+    """(ox, oy, half): half metres of the single-precision mean (float_mean) of the valid source cells under each output cell, void without any.
 
-    columns (ox, first, last) and rows (oy, first, last) are the spans of one output
-    tile; each lists its source columns or rows, so both joins are equi-joins and the
-    cells are aggregated by column before they meet the rows.
+    cells: x, y and v (metres). columns (ox, first, last) and rows (oy, first, last) are
+    the spans of one output tile; each lists its source columns or rows, so both joins are
+    equi-joins. The mean adds row by row, each from the left; an output cell holds the
+    cells of its own footprint and no more.
     """
     listed = lambda s, o, k: s.where("first < last").select(o, F.explode(F.sequence("first", F.col("last") - 1)).alias(k))
-    ok = cells.where(F.col("v") > elevation.XYZ_VOID_M)
-    by_column = ok.join(listed(columns, "ox", "x"), "x").groupBy("ox", "y").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
-    both = by_column.join(listed(rows, "oy", "y"), "y").groupBy("ox", "oy").agg((F.sum("s") / F.sum("n")).alias("v"))
-    return columns.select("ox").crossJoin(rows.select("oy")).join(both, ["ox", "oy"], "left")  # all cells of the output grid, by definition
+    ok = cells.where(F.col("v") > elevation.XYZ_VOID_M).select("x", "y", F.col("v").cast("float").alias("v"))
+    under = ok.join(listed(columns, "ox", "x"), "x").join(listed(rows, "oy", "y"), "y")
+    both = under.groupBy("ox", "oy").agg(F.array_sort(F.collect_list(F.struct("y", "x", "v"))).alias("s"))
+    half = both.select("ox", "oy", float_mean(F.transform("s", lambda s: s["v"])).alias("half"))
+    grid = columns.select("ox").crossJoin(rows.select("oy"))  # all cells of the output grid, by definition
+    return grid.join(half, ["ox", "oy"], "left").withColumn("half", F.coalesce("half", F.lit(elevation.VOID).cast("smallint")))
 
 
 def upsampled(cells: DataFrame, edge: int, level: int, child_x: Column, child_y: Column) -> DataFrame:
@@ -60,13 +64,27 @@ def window_chunks(windows: DataFrame, chunk: int, across: int) -> DataFrame:
     return cols.select("id", "cx", F.explode(F.sequence(F.floor(F.col("y0") / chunk), last("y1"))).alias("cy")).select("id", (F.col("cy") * across + F.col("cx")).alias("chunk"))
 
 
-def read_runs(ranges: DataFrame, gap: int) -> DataFrame:
-    """(file, run, start, stop, n): byte ranges merged where at most `gap` bytes lie between. ranges: file, start, stop."""
-    w = W.partitionBy("file").orderBy("start", "stop")
-    before = F.max("stop").over(w.rowsBetween(W.unboundedPreceding, -1))
-    new = F.when(before.isNull() | (F.col("start") > before + gap), 1).otherwise(0)
-    r = ranges.withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)))
-    return r.groupBy("file", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count(F.lit(1)).alias("n"))
+def read_runs(ranges: DataFrame, gap: int, most: int = 8 << 20) -> DataFrame:
+    """(file, run, start, stop, n): byte ranges, by their start, merged while at most `gap` bytes lie between and the run stays within `most` bytes.
+
+    ranges: file, start, stop. Whether a range opens a run depends on where the run before
+    began, so each file's ranges, which are its chunks, are gone through in order.
+    """
+    kind = dict(ranges.dtypes)["file"]
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        runs: list[list] = []
+        for start, stop in sorted(zip(pdf["start"], pdf["stop"], strict=True)):
+            if runs and start <= runs[-1][1] + gap and max(stop, runs[-1][1]) - runs[-1][0] <= most:
+                runs[-1][1], runs[-1][2] = max(stop, runs[-1][1]), runs[-1][2] + 1
+            else:
+                runs.append([start, stop, 1])
+        out = pd.DataFrame(runs, columns=["start", "stop", "n"])
+        out.insert(0, "run", range(1, len(runs) + 1))
+        out.insert(0, "file", pdf["file"].iloc[0])
+        return out
+
+    return ranges.select("file", "start", "stop").groupBy("file").applyInPandas(fold, f"file {kind}, run long, start long, stop long, n long")
 
 
 def undo_differences(samples: DataFrame, key: str, bits: int) -> DataFrame:

@@ -36,11 +36,22 @@ def void_statistics(cells: DataFrame, *group: str) -> DataFrame:
     return cells.groupBy(*group).agg(F.count_if(ok).alias("covered_px"), F.count_if(~ok).alias("void_px"), F.coalesce(F.min(F.when(ok, F.col("v"))), F.lit(0)).alias("base"))
 
 
+def nearest_rank(samples: DataFrame, key: str, value: str, how: str) -> DataFrame:
+    """(key, value): the nearest-rank minimum, tenth (p10) or middle (median) of each key's values.
+
+    Equal values are counted before they meet, so a key costs its distinct values, not
+    its samples, and no task holds an array of them.
+    """
+    n = samples.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+    w = W.partitionBy(key)
+    n = n.withColumns({"_to": F.sum("_n").over(w.orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)), "_all": F.sum("_n").over(w)})
+    at = {"min": F.lit(0), "p10": F.floor(F.col("_all") / 10), "median": F.floor(F.col("_all") / 2)}[how]
+    return n.where((F.col("_to") > at) & (F.col("_to") - F.col("_n") <= at)).select(key, value)
+
+
 def ground_level(samples: DataFrame, key: str, how: str = "p10") -> DataFrame:
     """(key, ground): nearest-rank statistic of a footprint's samples: min, p10 or median."""
-    s = F.array_sort(F.collect_list("v"))
-    at = {"min": F.lit(0), "p10": F.floor(F.size(s) / 10), "median": F.floor(F.size(s) / 2)}[how].cast("int")
-    return samples.groupBy(key).agg(F.element_at(s, F.least(at, F.size(s) - 1) + 1).alias("ground"))
+    return nearest_rank(samples, key, "v", how).withColumnRenamed("v", "ground")
 
 
 def datum_suspect(roofs: DataFrame, key: str, low: float = 1.0, high: float = 300.0) -> DataFrame:
@@ -48,11 +59,9 @@ def datum_suspect(roofs: DataFrame, key: str, low: float = 1.0, high: float = 30
 
     roofs: key and rise (metres of the roof over the ground).
     """
-    s = F.array_sort(F.collect_list("rise"))
     odd = F.count_if((F.col("rise") < low) | (F.col("rise") > high))
-    return roofs.groupBy(key).agg(
-        F.element_at(s, F.floor(F.size(s) / 2).cast("int") + 1).alias("median_rise"), (odd * 2 > F.count("rise")).alias("suspect")
-    )
+    said = roofs.groupBy(key).agg((odd * 2 > F.count("rise")).alias("suspect"))
+    return nearest_rank(roofs, key, "rise", "median").withColumnRenamed("rise", "median_rise").join(said, key)
 
 
 def _notches(grid: DataFrame, depth: float, reach: int) -> DataFrame:

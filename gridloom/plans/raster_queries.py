@@ -27,9 +27,9 @@ def mosaic_max_count(spark, sf):
     return mosaic.max_and_count(V.cells(spark, sf))
 
 
-@query(f"WITH {V.CELLS} SELECT x, y, string_agg(CAST(src % 65536 AS VARCHAR), ',' ORDER BY src) AS ids FROM cells WHERE raw <> 0 GROUP BY x, y")
+@query(f"WITH {V.CELLS} SELECT x, y, string_agg(CAST(src % 65536 AS VARCHAR), ',' ORDER BY {V.PLACE}) AS ids FROM cells WHERE raw <> 0 GROUP BY x, y")
 def mosaic_sources(spark, sf):
-    got = mosaic.contributors(V.cells(spark, sf))
+    got = mosaic.contributors(V.placed_cells(spark, sf))
     return got.select("x", "y", F.array_join("ids", ",").alias("ids"))
 
 
@@ -48,7 +48,8 @@ def mosaic_stats(spark, sf):
 
 _GRID = f"""WITH {V.RASTERS}, g AS (SELECT min("left") AS "left", max(top) AS top, arg_min(step_x, pos) AS step_x, arg_min(step_y, pos) AS step_y,
   CAST(round((max("left" + width * step_x) - min("left")) / arg_min(step_x, pos)) AS BIGINT) AS width,
-  CAST(round((max(top) - min(top + height * step_y)) / abs(arg_min(step_y, pos))) AS BIGINT) AS height FROM rasters)"""
+  CAST(round((max(top) - min(top + height * step_y)) / abs(arg_min(step_y, pos))) AS BIGINT) AS height,
+  (SELECT count(*) FROM rasters r, (SELECT arg_min(step_x, pos) AS sx, arg_min(step_y, pos) AS sy FROM rasters) f WHERE abs(r.step_x - sx) / abs(sx) > 0.01 OR abs(r.step_y - sy) / abs(sy) > 0.01) AS n_odd FROM rasters)"""
 
 
 @query(_GRID + " SELECT * FROM g")
@@ -159,7 +160,7 @@ def derivable(spark, sf):
     return quadtree.derivable(V.xyz(spark, sf).where("z = 15 and status <> 'missing'"), 4)
 
 
-_SPECS = "specs AS (SELECT c_custkey % 29 AS x0, c_custkey % 29 + c_custkey % 3 AS x1, c_custkey % 13 AS y0, c_custkey % 13 + c_custkey % 2 AS y1 FROM customer WHERE c_custkey % 5 = 0)"
+_SPECS = "specs AS (SELECT c_custkey % 29 AS x0, c_custkey % 29 + c_custkey % 3 AS x1, c_custkey % 13 AS y0, c_custkey % 13 + c_custkey % 2 AS y1 FROM customer)"
 
 
 def _specs(spark, sf):
@@ -181,7 +182,7 @@ def cache_diff(spark, sf):
     return quadtree.cache_index(quadtree.fetch_set(_specs(spark, sf), 15), t.where("status = 'ok'"), t.where("status = '404'"))
 
 
-@query(f"""WITH {V.XYZ}, f AS (SELECT o_orderkey % 500 AS cell, CAST(o_orderkey % 32 AS INT) AS x, CAST(o_custkey % 16 AS INT) AS y FROM orders WHERE o_orderkey % 7 = 0),
+@query(f"""WITH {V.XYZ}, f AS (SELECT o_orderkey % 500 AS cell, CAST(o_orderkey % 32 AS INT) AS x, CAST(o_custkey % 16 AS INT) AS y FROM orders),
 l AS (SELECT DISTINCT x, y, true AS yes FROM xyz WHERE z = 15 AND status = 'ok') SELECT cell, bool_and(coalesce(yes, false)) AS rewrite FROM f LEFT JOIN l USING (x, y) GROUP BY cell""")
 def repair_mask(spark, sf):
     o = V.table(spark, sf, "orders")

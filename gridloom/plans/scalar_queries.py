@@ -195,8 +195,3 @@ def codes_and_names(spark, sf):
     name = F.when(k % 2 == 0, F.concat(F.lit("12_"), k.cast("string"), F.lit("_7.pbf"))).otherwise("12_7.pbf")
     key = T.tile_key_of_name(name)
     return V.table(spark, sf, "supplier").select(k.alias("id"), T.retry_after(wait).alias("wait"), key["z"].alias("z"), key["x"].alias("x"), G.zigzag(k).alias("zig"))
-
-
-@query("""WITH b AS (SELECT page_id, url, html FROM pages) SELECT page_id, length(url) AS n, url LIKE '%?%' AS has_query FROM b""")
-def url_facts(spark, sf):
-    return V.table(spark, sf, "pages").select("page_id", F.length("url").cast("bigint").alias("n"), F.contains("url", F.lit("?")).alias("has_query"))

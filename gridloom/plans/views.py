@@ -16,6 +16,13 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
     return line.groupBy(*key).agg(F.max((F.col("l_quantity") * 5).cast("int")).alias("raw"))
 
 
+def placed_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The cells with their source's place in the input, which follows no order of the ids."""
+    return cells(spark, sf).withColumn("pos", F.col("src") * 7919 % 1000003)
+
+
+PLACE = "src * 7919 % 1000003"
+
 CELLS = """cells AS (SELECT l_suppkey AS src, l_orderkey % 64 AS x, l_partkey % 32 AS y,
   max(CAST(trunc(l_quantity * 5) AS INT)) AS raw FROM lineitem GROUP BY 1, 2, 3)"""
 
@@ -25,15 +32,15 @@ def rasters(spark: SparkSession, sf: str) -> DataFrame:
         F.col("s_suppkey").alias("pos"),
         (F.col("s_suppkey") * 37 % 1000 / 4.0).alias("left"),
         (F.col("s_suppkey") * 53 % 800 / 4.0).alias("top"),
-        F.lit(0.25).alias("step_x"),
-        F.lit(-0.25).alias("step_y"),
+        (0.25 + F.when(F.col("s_suppkey") % 6 == 0, 0.01).otherwise(0.0)).alias("step_x"),
+        (-0.25 - F.when(F.col("s_suppkey") % 10 == 0, 0.001).otherwise(0.0)).alias("step_y"),
         (F.col("s_suppkey") % 7 * 64 + 256).alias("width"),
         (F.col("s_suppkey") % 5 * 64 + 128).alias("height"),
     )
 
 
 RASTERS = """rasters AS (SELECT s_suppkey AS pos, s_suppkey * 37 % 1000 / 4.0::DOUBLE AS "left", s_suppkey * 53 % 800 / 4.0::DOUBLE AS top,
-  0.25::DOUBLE AS step_x, -0.25::DOUBLE AS step_y, s_suppkey % 7 * 64 + 256 AS width, s_suppkey % 5 * 64 + 128 AS height FROM supplier)"""
+  0.25::DOUBLE + CASE WHEN s_suppkey % 6 = 0 THEN 0.01::DOUBLE ELSE 0.0::DOUBLE END AS step_x, -0.25::DOUBLE - CASE WHEN s_suppkey % 10 = 0 THEN 0.001::DOUBLE ELSE 0.0::DOUBLE END AS step_y, s_suppkey % 7 * 64 + 256 AS width, s_suppkey % 5 * 64 + 128 AS height FROM supplier)"""
 
 
 def elev(spark: SparkSession, sf: str) -> DataFrame:
@@ -93,9 +100,23 @@ def shapes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(k.alias("id"), (F.col("p_size") % 13).alias("rise"), ring.alias("ring"))
 
 
+def built(spark: SparkSession, sf: str) -> DataFrame:
+    """The shapes with a courtyard in every third and an absolute roof on every fifth."""
+    k = F.col("id")
+    x, y = k * 7 % 60 + 0.25, k * 11 % 60 + 0.25
+    p = lambda a, b: F.struct(a.cast("double").alias("px"), b.cast("double").alias("py"))
+    hole = F.array(p(x + 0.25, y + 0.25), p(x + 0.25, y + 1.25), p(x + 1.25, y + 1.25), p(x + 1.25, y + 0.25))
+    none = F.array().cast("array<array<struct<px:double,py:double>>>")
+    s = shapes(spark, sf).withColumns({"holes": F.when(k % 3 == 0, F.array(hole)).otherwise(none), "absolute": k % 5 == 0})
+    return s.withColumn("rise", F.when(F.col("absolute"), (k % 400).cast("int")).otherwise(F.col("rise").cast("int")))
+
+
 SHAPES = """base AS (SELECT p_partkey AS id, p_size % 13 AS rise, CAST(p_partkey * 7 % 60 + 0.25 AS DOUBLE) AS ox, CAST(p_partkey * 11 % 60 + 0.25 AS DOUBLE) AS oy,
   CAST(p_partkey % 5 + 1.5 AS DOUBLE) AS w, CAST(p_partkey % 3 + 1.5 AS DOUBLE) AS h FROM part),
 verts AS (SELECT id, rise, 0 AS i, ox AS px, oy AS py FROM base UNION ALL SELECT id, rise, 1, ox + w, oy FROM base
   UNION ALL SELECT id, rise, 2, CASE WHEN id % 2 = 0 THEN ox + w ELSE ox END, oy + h FROM base UNION ALL SELECT id, rise, 3, ox, oy + h FROM base WHERE id % 2 = 0),
 edges AS (SELECT id, rise, i, px, py, coalesce(lead(px) OVER o, first_value(px) OVER o) AS qx, coalesce(lead(py) OVER o, first_value(py) OVER o) AS qy
   FROM verts WINDOW o AS (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"""
+
+HOLES = """built AS (SELECT DISTINCT id, CASE WHEN id % 5 = 0 THEN CAST(id % 400 AS INT) ELSE CAST(rise AS INT) END AS rise, id % 5 = 0 AS absolute, id % 3 = 0 AS court,
+  CAST(id * 7 % 60 + 0.25 AS DOUBLE) AS ox, CAST(id * 11 % 60 + 0.25 AS DOUBLE) AS oy FROM edges)"""

@@ -4,6 +4,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from gridloom.plans import catalog
@@ -22,7 +23,7 @@ def duck():
 
 
 def plain(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v is pd.NaT or v != v:
         return "null"
     if isinstance(v, (bool, np.bool_)):
         return str(bool(v))

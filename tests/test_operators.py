@@ -95,8 +95,9 @@ def test_overview_is_decimation(spark):
 
 
 def test_counts_saturate_and_ids_wrap(spark):
-    cells = spark.createDataFrame([(70000, 0, 0, 5), (1, 0, 0, 9), (3, 0, 0, 0)], "src long, x long, y long, raw int")
-    assert mosaic.contributors(cells).first()["ids"] == [1, 70000 - 65536]
+    cells = spark.createDataFrame([(70000, 0, 0, 5, 0), (1, 0, 0, 9, 2), (3, 0, 0, 0, 1)], "src long, x long, y long, raw int, pos long")
+    # in input order, which is not that of the ids
+    assert mosaic.contributors(cells).first()["ids"] == [70000 - 65536, 1]
     assert mosaic.max_and_count(cells).first()[2:] == (9, 2)
 
 
