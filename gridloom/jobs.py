@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import os
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,13 +35,20 @@ def _opened(path: str, content: bytes, sidecar: bytes | None):
     return h.geotransform, h.size, lambda y, n: tiff.read_window(content, h, 0, y, h.size[0], n)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path as Spark's file sources name it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
 def _inputs(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, pos, content, sidecar) of the listed files that are there."""
+    """(path, pos, content, sidecar) of the listed files that are there; a file that is listed twice counts where it stands first."""
     ship_package(spark)
-    order = spark.createDataFrame([(p, i) for i, p in enumerate(paths)], "name string, pos bigint")
-    files = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(paths).select("path", "content")
+    whole = [qualified(spark, p) for p in paths]
+    order = spark.createDataFrame([(p, whole.index(p)) for p in dict.fromkeys(whole)], "path string, pos bigint")
+    files = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").load(whole).select("path", "content")
     bits = [p[:-4] + ".json" for p in paths if p.endswith(".bit")]
-    found = files.join(F.broadcast(order), F.endswith(F.col("path"), F.col("name")))
+    found = files.join(F.broadcast(order), "path")  # one row for each path that the caller listed
     if not bits:
         return found.withColumn("sidecar", F.lit(None).cast("binary"))
     stem = lambda c: F.regexp_replace(c, r"\.[^./]*$", "")
@@ -96,22 +105,62 @@ def mosaic_files(result: dict[str, DataFrame], tile: int = 512) -> dict[str, byt
     return {"max.tif": file("max_raw", 8), "count.tif": file("n_src", 16), "index.vix": containers.write_visibility(tiles, tile, g["width"], g["height"], gt)}
 
 
+def write_mosaic_files(result: dict[str, DataFrame], folder: str, tile: int = 512) -> None:
+    """max.tif and count.tif of the mosaic in a local folder. Executors compress the tiles, and the driver holds a partition of them at a time."""
+    g = result["grid"].first()
+    gt = [g["left"], g["step_x"], 0.0, g["top"], 0.0, g["step_y"]]
+    for name, column, bits in (("max.tif", "max_raw", 8), ("count.tif", "n_src", 16)):
+        with open(os.path.join(folder, name), "wb") as f:
+            sinks.write_mosaic(result["cells"].withColumn("v", F.col(column)), f, g["width"], g["height"], tile, gt, mosaic.overview_levels(g["width"], g["height"]), bits)
+
+
+def in_memory(files: DataFrame) -> dict[str, bytes]:
+    """(name, payload) rows as a mapping, for callers that want no files."""
+    return {r["name"]: bytes(r["payload"]) for r in files.select("name", "payload").collect()}
+
+
+def burn_when_ready(cells: DataFrame, marker: str, wait_s: float, shapes, size: int) -> DataFrame:
+    """cells with `burned`, of a batch whose buildings are still being written.
+
+    The terrain is computed and kept while the marker is awaited; shapes() is called when
+    it is there. An error if it does not come in time.
+    """
+    from gridloom.operators import vector
+    from gridloom.streaming import gates
+
+    held = cells.persist(StorageLevel.MEMORY_AND_DISK)
+    held.count()
+    gates.await_marker(cells.sparkSession, marker, wait_s)
+    return vector.burn(held, shapes(), size)
+
+
 def export(content: bytes, sidecar: bytes, tile: int = 512) -> bytes:
     """One coverage container as a TIFF with decimated overviews."""
     if tile % 16:
         raise ValueError("the tile size must be a multiple of 16")
     c = containers.read_coverage(content, sidecar)
-    grid = c.window(0, 0, c.width, c.height)
-    factors, f = [], 4
-    if c.width > 2048:
-        while c.width // f > 256:
+    return _exported(c.window(0, 0, c.width, c.height), c.bits, c.geotransform, json.loads(sidecar), tile)
+
+
+def export_flat(content: bytes, sidecar: bytes, tile: int = 512) -> bytes:
+    """One flat buffer of 1 or 8 bits a cell as a TIFF with decimated overviews."""
+    side = json.loads(sidecar)
+    size, bits = side["dimensions"], 1 if side.get("output_format", "1BIT_LOS") == "1BIT_LOS" else 8
+    return _exported(containers.flat_rows(content, size["width"], size["height"], bits), bits, side["geotransform"], side, tile)
+
+
+def _exported(grid: np.ndarray, bits: int, geotransform: list[float], side: dict, tile: int) -> bytes:
+    if tile % 16:
+        raise ValueError("the tile size must be a multiple of 16")
+    factors, f, width = [], 4, grid.shape[1]
+    if width > 2048:
+        while width // f > 256:
             factors.append(f)
             f *= 4
         factors.append(f)
-    side = json.loads(sidecar)
     epsg = int(str(side.get("projection", "EPSG:4326")).rpartition(":")[2])
-    nodata, scale = {1: ("0", None), 8: ("0", (1.0, -150.0)), 16: ("65535", (0.5, 0.0))}[c.bits]
-    return tiff.write_tiled(grid, tile, c.geotransform, nodata, tuple(grid[::k, ::k] for k in factors), epsg=epsg, predictor=1, scale=scale)
+    nodata, scale = {1: ("0", None), 8: ("0", (1.0, -150.0)), 16: ("65535", (0.5, 0.0))}[bits]
+    return tiff.write_tiled(grid, tile, geotransform, nodata, tuple(grid[::k, ::k] for k in factors), epsg=epsg, predictor=1, scale=scale)
 
 
 def plan(spark: SparkSession, south: float, north: float, west: float, east: float, resolutions: list[int]) -> dict:

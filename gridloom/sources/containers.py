@@ -70,16 +70,16 @@ def pack_tile(cells: np.ndarray, bits: int) -> bytes:
     return cells.astype("<u2" if bits == 16 else np.uint8).tobytes()
 
 
-def read_coverage(data: bytes, sidecar: str | bytes) -> Coverage:
-    """A container by its trailing index and JSON sidecar."""
+def read_coverage(data, sidecar: str | bytes) -> Coverage:
+    """A container by its trailing index and JSON sidecar. data: bytes, or a file read in ranges, of which only the index is fetched."""
     side = json.loads(sidecar)
     kind = side.get("output_format", "1BIT_LOS")
     bits = 1 if kind == "1BIT_LOS" else 16 if kind.startswith("16BIT") else 8
     if len(data) < 24 or data[-8:-4] != COVERAGE_MAGIC:
         raise FormatError("no index at the end of the container")
-    at, count = struct.unpack_from("<QQ", data, len(data) - 24)
+    at, count = struct.unpack("<QQ", data[len(data) - 24 : len(data) - 8])
     count = max(0, min(count, (len(data) - 24 - at) // COVERAGE_ENTRY.itemsize))
-    entries = np.frombuffer(data, COVERAGE_ENTRY, count, at) if count else np.zeros(0, COVERAGE_ENTRY)
+    entries = np.frombuffer(data[at : at + count * COVERAGE_ENTRY.itemsize], COVERAGE_ENTRY, count) if count else np.zeros(0, COVERAGE_ENTRY)
     index = {(int(e["tx"]), int(e["ty"])): (int(e["offset"]), int(e["size"])) for e in entries if e["offset"] + e["size"] <= len(data)}
     size = side["dimensions"]
     return Coverage(data, size["width"], size["height"], side.get("tile_size") or 512, bits, side["geotransform"], index)
@@ -139,6 +139,34 @@ def read_elevation(data: bytes) -> ElevationTile:
     return ElevationTile(size, lat, lon, pixel, base, np.ascontiguousarray(rows[:, : 2 * size]).view("<i2"))
 
 
+def lenient_header(data: bytes) -> tuple[int, float, float, float, float, int] | None:
+    """(size, ul_lat, ul_lon, step_y, step_x, row stride) of a buffer that is edited in place, whatever its magic and version say; None where it is too short."""
+    if len(data) < ELEVATION_HEADER.size:
+        return None
+    _, _, size, lat, lon, dy, dx, _, stride = ELEVATION_HEADER.unpack_from(data)
+    return size, lat, lon, dy, dx, stride
+
+
+def edited(data: bytes, cells: dict[tuple[int, int], int]) -> bytes:
+    """A tile's bytes with some samples (x, y) replaced; those outside the grid or the buffer are left out."""
+    head = lenient_header(data)
+    if head is None:
+        return data
+    out, (size, *_, stride) = bytearray(data), head
+    for (x, y), v in cells.items():
+        at = ELEVATION_HEADER.size + y * stride + 2 * x
+        if 0 <= x < size and 0 <= y < size and at + 2 <= len(out):
+            struct.pack_into("<h", out, at, v)
+    return bytes(out)
+
+
+def is_output_of(data: bytes, size: int, ul_lat: float, ul_lon: float, resolution_m: float) -> bool:
+    """Whether a file is exactly what a full run writes for a tile: the same header and length."""
+    stride, step = (2 * size + 255) // 256 * 256, resolution_m / 111111.0
+    head = ELEVATION_HEADER.pack(ELEVATION_MAGIC, 1, size, ul_lat, ul_lon, step, step, 0, stride & 0xFFFF)
+    return len(data) == len(head) + stride * size and data[: len(head)] == head
+
+
 def write_elevation(cells: np.ndarray, ul_lat: float, ul_lon: float, pixel_deg: float) -> bytes:
     """A version-1 tile: rows padded to 256 bytes; the base is the lowest valid sample, 0 without any."""
     size = len(cells)

@@ -45,6 +45,22 @@ def fields(data: bytes):
         yield key >> 3, value
 
 
+def raw_counts(data: bytes) -> tuple[int, list[str]]:
+    """(features of layer `building`, name:count of every layer) from the wire format alone, as far as it can be followed."""
+    total, said = 0, []
+    for n, body in fields(gunzipped(data)):
+        if n != 3 or isinstance(body, int):
+            continue
+        name, count = "", 0
+        for k, v in fields(body):
+            if k == 1 and not isinstance(v, int):
+                name = v.decode("utf-8", "replace")
+            count += k == 2 and not isinstance(v, int)
+        said.append(f"{name}:{count}")
+        total += count if name == "building" else 0
+    return total, said
+
+
 def _packed(data: bytes) -> list[int]:
     at, out = 0, []
     while at < len(data):

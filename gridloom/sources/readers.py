@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions import text
 from gridloom.runtime import ship_package
 
-from . import containers, flatgeobuf, mvt, png, tiff
+from . import containers, flatgeobuf, mvt, png, ranged, tiff
 
 CELLS = "path string, error string, x int, y int, v int"
 FACTS = (
@@ -122,25 +123,27 @@ def rgb_tiles(images: DataFrame, code: str) -> DataFrame:
     return images.select("z", "x", "y", "content").mapInPandas(run, "z int, x int, y int, edge int, data array<float>, error string")
 
 
-def building_rows(tiles: DataFrame) -> DataFrame:
-    """(z, x, y, pos, ext, holes, tags, error) of the buildings of vector tiles. tiles: z, x, y, content."""
+def building_rows(tiles: DataFrame, *also: str) -> DataFrame:
+    """(z, x, y, pos, ext, holes, tags, error) of the buildings of vector tiles, after the text columns named in also. tiles: z, x, y, content."""
     point = "array<struct<lon:double,lat:double>>"
 
     def run(batches):
         for pdf in batches:
             rows = []
-            for z, x, y, content in zip(pdf["z"], pdf["x"], pdf["y"], pdf["content"], strict=True):
+            own = [pdf[c] for c in (*also, "z", "x", "y")]
+            for *key, content in zip(*own, pdf["content"], strict=True):
                 try:
-                    for pos, (tags, line, holes) in enumerate(mvt.buildings(content, z, x, y)):
+                    for pos, (tags, line, holes) in enumerate(mvt.buildings(content, *key[-3:])):
                         pts = lambda ps: [{"lon": a, "lat": b} for a, b in ps]
                         said = {k: str(v[0]) for k, v in tags.items()}
-                        rows.append((z, x, y, pos, pts(line), [pts(h) for h in holes], said, None))
+                        rows.append((*key, pos, pts(line), [pts(h) for h in holes], said, None))
                 except Exception as e:  # noqa: BLE001
-                    rows.append((z, x, y, None, None, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["z", "x", "y", "pos", "ext", "holes", "tags", "error"]).astype({"pos": "Int64"})
+                    rows.append((*key, None, None, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=[*also, "z", "x", "y", "pos", "ext", "holes", "tags", "error"]).astype({"pos": "Int64"})
 
     ship_package(tiles.sparkSession)
-    return tiles.select("z", "x", "y", "content").mapInPandas(run, f"z int, x int, y int, pos bigint, ext {point}, holes array<{point}>, tags map<string,string>, error string")
+    kind = "".join(f"{c} string, " for c in also) + f"z int, x int, y int, pos bigint, ext {point}, holes array<{point}>, tags map<string,string>, error string"
+    return tiles.select(*also, "z", "x", "y", "content").mapInPandas(run, kind)
 
 
 def flatgeobuf_rows(spark: SparkSession, path: str, box: tuple | None = None) -> DataFrame:
@@ -203,6 +206,119 @@ def probe(rasters: DataFrame) -> DataFrame:
 
 
 def path_list(spark: SparkSession, path: str) -> DataFrame:
-    """Distinct entries of a text list: without byte-order mark, carriage returns, blank lines and # comments."""
-    lines = spark.read.text(path).select(F.trim(F.regexp_replace("value", "^﻿|\r$", "")).alias("entry"))
-    return lines.where("entry <> '' and not startswith(entry, '#')").distinct().orderBy("entry")
+    """(pos, entry): the lines of a text list in order, repeats and all; only a byte-order mark, line ends and blank lines go."""
+    line = F.explode(F.zip_with(lines := F.split(F.regexp_replace("value", "^\ufeff", ""), "\r?\n"), F.sequence(F.lit(0), F.size(lines) - 1), lambda t, i: F.struct(i.cast("bigint").alias("pos"), t.alias("entry"))))
+    found = spark.read.text(path, wholetext=True).select(line.alias("l")).select("l.*")
+    return found.where("trim(entry) <> ''").orderBy("pos")
+
+
+def tile_list(spark: SparkSession, path: str) -> DataFrame:
+    """(name, z, x, y): the distinct tile names of a list, in byte order; blank lines and # comments go.
+
+    A name with a directory part, or one that is no {z}_{x}_{y}.pbf or .mvt, is an error that names the line.
+    """
+    named = path_list(spark, path).select((F.col("pos") + 1).alias("line"), F.trim(F.regexp_replace("entry", "[\\s]+$", "")).alias("name")).where("name <> '' and not startswith(name, '#')")
+    key = text.tile_key_of_name(F.col("name"))
+    checked = named.select("line", "name", key.alias("k"))
+    bad = checked.where(F.col("k.z").isNull() | F.col("name").rlike(r"[/\\]")).orderBy("line").first()
+    if bad is not None:
+        raise ValueError(f"{path}: line {bad['line']}: {bad['name']!r} is not the name of a tile in the folder, {{z}}_{{x}}_{{y}}.pbf")
+    return checked.select("name", "k.*").distinct().orderBy("name")
+
+
+def _building_files(files_there: DataFrame, where: str) -> DataFrame:
+    zooms = sorted(r["z"] for r in files_there.select("z").distinct().limit(2).collect())
+    if len(zooms) > 1:
+        raise ValueError(f"{where} mixes zooms ({zooms[0]} and {zooms[1]}); exactly one is expected")
+    return building_rows(files_there, "name")
+
+
+def building_folder(spark: SparkSession, path: str) -> DataFrame:
+    """Buildings (see building_rows) of all {z}_{x}_{y}.pbf and .mvt files of a folder, with their file's `name`; other files are not read.
+
+    Two zooms would measure roofs against roofs, so they are an error, told from the names
+    alone. A file that does not decode is a row with its error. In the order of (name, pos),
+    names by bytes, the rows are the folder's buildings.
+    """
+    name = F.regexp_extract("path", "[^/]*$", 0)
+    found = files(spark, path).select("content", name.alias("name"), text.tile_key_of_name(name).alias("k")).where("k.z is not null")
+    return _building_files(found.select("name", "k.*", "content"), path)
+
+
+def building_list(spark: SparkSession, path: str, listed: str) -> DataFrame:
+    """As building_folder, of exactly the tiles that a list names; one that is not there is an error. Other files are not opened."""
+    wanted = tile_list(spark, listed)
+    there = files(spark, path).select("content", F.regexp_extract("path", "[^/]*$", 0).alias("name"))
+    gone = wanted.join(there.select("name"), "name", "left_anti").orderBy("name").first()
+    if gone is not None:
+        raise ValueError(f"Building tile {gone['name']} listed in {listed} is not in {path}")
+    return _building_files(wanted.join(there, "name"), listed)
+
+
+def first_error(rows: DataFrame, *order: str) -> None:
+    """Raises the error of the first row, in that order, that has one."""
+    bad = rows.where("error is not null").select(*order, "error").orderBy(*order).first()
+    if bad is not None:
+        raise ValueError(f"{bad[0]}: {bad['error']}")
+
+
+def raw_features(tiles: DataFrame) -> DataFrame:
+    """(z, x, y, buildings, layers): features of layer `building`, and of every layer as name:count, counted from the wire format alone."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(z, x, y, *mvt.raw_counts(bytes(c))) for z, x, y, c in zip(pdf["z"], pdf["x"], pdf["y"], pdf["content"], strict=True)]
+            yield pd.DataFrame(rows, columns=["z", "x", "y", "buildings", "layers"])
+
+    ship_package(tiles.sparkSession)
+    return tiles.select("z", "x", "y", "content").mapInPandas(run, "z int, x int, y int, buildings bigint, layers array<string>")
+
+
+def source_kind(head: Column, nodata: Column) -> Column:
+    """'elevation' or 'tiff' by a file's first bytes; a nodata value given for an elevation tile, which needs none, is an error."""
+    tile = F.substring(head, 1, 4) == F.lit(containers.ELEVATION_MAGIC)
+    clash = F.raise_error(F.lit("elevation tiles describe themselves: no nodata may be given for them"))
+    return F.when(tile & nodata.isNotNull(), clash.cast("string")).when(tile, "elevation").otherwise("tiff")
+
+
+GEOMETRY = "path string, error string, width bigint, height bigint, west double, north double, step_x double, step_y double, epsg int, nodata double, scale double, offset double"
+
+
+def source_headers(rasters: DataFrame) -> DataFrame:
+    """Geometry, CRS, nodata and scale of each terrain raster, or why it cannot be one: several bands, a codec that is not
+    decoded, a rotated grid, no georeference. rasters: path, content (the head of a file will do)."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for p, c in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    h = tiff.read_header(bytes(c))
+                    rows.append((p, None, *h.size, *tiff.georeference(h), *tiff.sample_rules(h)))
+                except (tiff.TiffError, TypeError, ValueError) as e:
+                    rows.append((p, str(e), *[None] * 10))
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in GEOMETRY.split(", ")]).astype({"width": "Int64", "height": "Int64", "epsg": "Int32"})
+
+    ship_package(rasters.sparkSession)
+    return rasters.select("path", "content").mapInPandas(run, GEOMETRY)
+
+
+def probe_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Header facts of the listed files, read in ranges: a file costs its directories, not its samples."""
+    names = [f.split()[0] for f in FACTS.split(", ")]
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for p in pdf["path"]:
+                try:
+                    with ranged.Ranged(p) as data:
+                        rows.append({"path": p, **header_facts(data)})
+                except OSError as e:
+                    rows.append({"path": p, "ok": False, "reason": "not found" if isinstance(e, FileNotFoundError) else str(e)})
+            out = pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names, dtype=object)
+            yield out.astype({n: "Int64" for n, t in (f.split() for f in FACTS.split(", ")) if t == "bigint"})
+
+    ship_package(spark)
+    parts = max(1, min(len(paths), spark.sparkContext.defaultParallelism))
+    return spark.createDataFrame([(p,) for p in paths], "path string").repartition(parts).mapInPandas(run, FACTS)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.operators import mosaic
 from gridloom.runtime import ship_package
 
-from . import containers, tiff
+from . import containers, ranged, tiff
 
 
 def elevation_tiles(cells: DataFrame, size: int, pixel_deg: float) -> DataFrame:
@@ -48,11 +52,51 @@ def compressed_tiles(cells: DataFrame, tile: int, bits: int) -> DataFrame:
 
 
 def mosaic_tiff(cells: DataFrame, width: int, height: int, tile: int, geotransform: list[float], factors: list[int], bits: int = 8) -> bytes:
-    """A whole mosaic as one TIFF file with overviews: only meant for rasters that one file may hold."""
-    grid = np.zeros((height, width), np.uint16 if bits == 16 else np.uint8)
-    pdf = cells.where("v <> 0").select("x", "y", "v").toPandas()
-    grid[pdf["y"], pdf["x"]] = pdf["v"]
-    return tiff.write_tiled(grid, tile, geotransform, "0", tuple(grid[::f, ::f] for f in factors), scale=(1.0, -150.0))
+    """A whole mosaic as the bytes of one TIFF file with overviews: only meant for files that fit the driver; write_mosaic() is for others."""
+    out = io.BytesIO()
+    write_mosaic(cells, out, width, height, tile, geotransform, factors, bits)
+    return out.getvalue()
+
+
+def write_mosaic(cells: DataFrame, out, width: int, height: int, tile: int, geotransform: list[float], factors: list[int], bits: int = 8) -> None:
+    """A whole mosaic as one TIFF file with overviews, written to a seekable binary file.
+
+    cells: x, y, v. Executors compress the tiles; the driver copies them to the file one
+    partition at a time and keeps their places only.
+    """
+    w = tiff.TiledWriter(out, tile, geotransform, "0", scale=(1.0, -150.0))
+    for f in (1, *factors):
+        level = cells if f == 1 else mosaic.decimated(cells, f)
+        tiles = compressed_tiles(level.select("x", "y", "v"), tile, bits)
+        w.image(-(-width // f), -(-height // f), np.dtype(np.uint16 if bits == 16 else np.uint8), ((r["tx"], r["ty"], bytes(r["payload"])) for r in tiles.toLocalIterator()))
+
+
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Writes (name, payload) rows as files of a folder, on the executors, and returns (name, bytes) once they are there.
+
+    A file appears under its name when it is whole, so a task that is run again only
+    writes it anew. The folder is made if it is not there.
+    """
+    spark = files.sparkSession
+    ship_package(spark)
+
+    def run(batches):
+        system, place = ranged.opened(folder)
+        system.create_dir(place, recursive=True)
+        for pdf in batches:
+            rows = []
+            for name, payload in zip(pdf["name"], pdf["payload"], strict=True):
+                if "/" in name or name in ("", ".", ".."):
+                    raise ValueError(f"{name!r} is no file name")
+                part = f"{place}/.{name}.{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as f:
+                    f.write(bytes(payload))
+                system.move(part, f"{place}/{name}")
+                rows.append((name, len(payload)))
+            yield pd.DataFrame(rows, columns=["name", "bytes"])
+
+    written = files.select("name", "payload").mapInPandas(run, "name string, bytes long")
+    return spark.createDataFrame(written.collect(), "name string, bytes long")  # names and sizes only
 
 
 def visibility_tiles(cells: DataFrame, tile: int) -> DataFrame:

@@ -6,6 +6,8 @@ strips and tiles; one band. Other codecs are refused by name.
 
 from __future__ import annotations
 
+import io
+import re
 import struct
 import zlib
 from dataclasses import dataclass, field
@@ -71,17 +73,25 @@ class Header:
         return v[0].split(b"\0")[0].decode("latin-1") if v else None
 
 
-def read_header(data: bytes) -> Header:
-    """Walks the directory chain. Raises TiffError for files that are no TIFF, truncated or looped."""
+def _unpacked(data, form: str, at: int) -> tuple:
+    """Values at a place of bytes, or of anything that gives bytes for a slice."""
+    return struct.unpack(form, data[at : at + struct.calcsize(form)])
+
+
+def read_header(data) -> Header:
+    """Walks the directory chain. Raises TiffError for files that are no TIFF, truncated or looped.
+
+    data: bytes, or a file read in ranges, of which only the directories are fetched.
+    """
     if len(data) < 8 or data[:2] not in (b"II", b"MM"):
         raise TiffError("not a TIFF file")
     order = "<" if data[:2] == b"II" else ">"
-    version = struct.unpack_from(f"{order}H", data, 2)[0]
+    version = _unpacked(data, f"{order}H", 2)[0]
     if version not in (42, 43):
         raise TiffError(f"TIFF version {version}")
     big = version == 43
     try:
-        at = struct.unpack_from(f"{order}Q", data, 8)[0] if big else struct.unpack_from(f"{order}I", data, 4)[0]
+        at = _unpacked(data, f"{order}Q", 8)[0] if big else _unpacked(data, f"{order}I", 4)[0]
         found, seen = [], set()
         while at:
             if at in seen or len(found) >= MAX_IFDS:
@@ -98,32 +108,32 @@ def read_header(data: bytes) -> Header:
     return Header(order, big, main[1], sum(1 for f in found if f[1].get(254, [0])[0] & 1), main[0])
 
 
-def _directory(data: bytes, at: int, order: str, big: bool) -> tuple[dict, int]:
-    count = struct.unpack_from(f"{order}{'Q' if big else 'H'}", data, at)[0]
+def _directory(data, at: int, order: str, big: bool) -> tuple[dict, int]:
+    count = _unpacked(data, f"{order}{'Q' if big else 'H'}", at)[0]
     at += 8 if big else 2
     entry, inline, tags = (20, 8, {}) if big else (12, 4, {})
     if at + count * entry > len(data):
         raise TiffError("truncated directory")
     for _ in range(count):
-        tag, kind = struct.unpack_from(f"{order}HH", data, at)
-        n = struct.unpack_from(f"{order}{'Q' if big else 'I'}", data, at + 4)[0]
+        tag, kind = _unpacked(data, f"{order}HH", at)
+        n = _unpacked(data, f"{order}{'Q' if big else 'I'}", at + 4)[0]
         letters = TYPES.get(kind)
         if letters:
             size = struct.calcsize(f"{order}{letters}") * n
             place = at + (12 if big else 8)
             if size > inline:
-                place = struct.unpack_from(f"{order}{'Q' if big else 'I'}", data, place)[0]
+                place = _unpacked(data, f"{order}{'Q' if big else 'I'}", place)[0]
             if place + size > len(data):
                 raise TiffError(f"tag {tag} lies outside the file")
             if kind == 2:
                 tags[tag] = [data[place : place + n]]
             elif kind == 5:
-                v = struct.unpack_from(f"{order}{2 * n}I", data, place)
+                v = _unpacked(data, f"{order}{2 * n}I", place)
                 tags[tag] = [a / b if b else 0.0 for a, b in zip(v[::2], v[1::2], strict=True)]
             else:
-                tags[tag] = list(struct.unpack_from(f"{order}{n}{letters}", data, place))
+                tags[tag] = list(_unpacked(data, f"{order}{n}{letters}", place))
         at += entry
-    return tags, struct.unpack_from(f"{order}{'Q' if big else 'I'}", data, at)[0]
+    return tags, _unpacked(data, f"{order}{'Q' if big else 'I'}", at)[0]
 
 
 def lzw_decode(data: bytes) -> bytes:
@@ -222,7 +232,41 @@ def chunk_table(h: Header) -> list[tuple[int, int, int, int, int, int]]:
     return out
 
 
-def read_window(data: bytes, h: Header, x: int, y: int, width: int, height: int) -> np.ndarray:
+def georeference(h: Header) -> tuple[float, float, float, float, int | None]:
+    """(west, north, step_x, step_y, EPSG code) of a terrain raster's corner; refuses what cannot be one."""
+    if h.one(277, 1) != 1 or h.one(262, 1) not in (0, 1):
+        raise TiffError("an image, not an elevation raster: elevation has one band")
+    if h.one(259, 1) not in (1, 5, 8, 32773, 32946):
+        raise TiffError(f"unsupported compression {h.one(259)} ({NAMES.get(h.one(259), 'unknown')})")
+    matrix = h.tags.get(34264, [])
+    gt = h.geotransform
+    if len(matrix) == 16 and (matrix[1] or matrix[4]):
+        raise TiffError(f"rotated or sheared grid: {matrix[1]:g} and {matrix[4]:g}; warp it to a north-up one")
+    if gt is None or (len(matrix) != 16 and len(h.tags.get(33922, [])) < 6):
+        raise TiffError("no geotransform; one is never made up from a file name")
+    keys = h.tags.get(34735, [])
+    said = {k: v for k, place, v in ((keys[i], keys[i + 1], keys[i + 3]) for i in range(4, len(keys) - 3, 4)) if place == 0}
+    west, north, dx, dy = gt[0], gt[3], abs(gt[1]), abs(gt[5])
+    if said.get(1025) == 2:  # the origin names the middle of the first pixel
+        west, north = west - 0.5 * dx, north + 0.5 * dy
+    code = said.get(3072, said.get(2048))
+    return west, north, dx, dy, code if code not in (0, 32767) else None
+
+
+def sample_rules(h: Header) -> tuple[float | None, float | None, float | None]:
+    """(nodata, scale, offset) that a file's own texts give, null where they say nothing that is a number."""
+    try:
+        nodata = float((h.text(42113) or "").strip("\0 \t\r\n"))
+    except ValueError:
+        nodata = None
+    xml, found = h.text(42112) or "", []
+    for name in ("SCALE", "OFFSET"):
+        said = re.search(rf'<Item name="{name}"(?![^>]*sample="[1-9])[^>]*>([^<]*)<', xml)
+        found.append(float(said[1]) if said else None)
+    return nodata, *found
+
+
+def read_window(data, h: Header, x: int, y: int, width: int, height: int) -> np.ndarray:
     """A window of samples; only the chunks under it are decoded. Absent chunks (no bytes) are zeros."""
     if h.one(277, 1) != 1:
         raise TiffError(f"{h.one(277)} bands")
@@ -238,60 +282,84 @@ def read_window(data: bytes, h: Header, x: int, y: int, width: int, height: int)
     return out
 
 
-def write_tiled(array: np.ndarray, tile: int, geotransform: list[float], nodata: str, overviews: tuple = (), epsg: int = 4326, big: bool = True, level: int = 6, predictor: int = 2, scale: tuple | None = None) -> bytes:
-    """A tiled, Deflate-compressed TIFF with an overview chain; tiles of zeros only are absent."""
-    order, images = "<", [array, *overviews]
-    out = bytearray(b"II" + (struct.pack("<HHHQ", 43, 8, 0, 0) if big else struct.pack("<HI", 42, 0)))
-    link = 8 if big else 4
-    for k, image in enumerate(images):
-        h, w = image.shape
-        offsets, sizes = [], []
-        for ty in range(0, h, tile):
-            for tx in range(0, w, tile):
-                full = np.zeros((tile, tile), image.dtype)
-                part = image[ty : ty + tile, tx : tx + tile]
-                full[: part.shape[0], : part.shape[1]] = part
-                if not full.any():
-                    offsets.append(0)
-                    sizes.append(0)
-                    continue
-                if predictor == 2:
-                    full = np.diff(full, axis=1, prepend=full.dtype.type(0))
-                raw = zlib.compress(full.astype(full.dtype.newbyteorder(order)).tobytes(), level)
-                offsets.append(len(out))
-                sizes.append(len(raw))
-                out += raw
+class TiledWriter:
+    """Writes a tiled, Deflate-compressed TIFF to a seekable file, image by image: the first is the raster, the others its overviews."""
+
+    def __init__(self, out, tile: int, geotransform: list[float], nodata: str, epsg: int = 4326, big: bool = True, predictor: int = 2, scale: tuple | None = None):
+        self.out, self.tile, self.big, self.predictor, self.images = out, tile, big, predictor, 0
+        self.at = self.link = 0
+        self._put(b"II" + (struct.pack("<HHHQ", 43, 8, 0, 0) if big else struct.pack("<HI", 42, 0)))
+        self.link = 8 if big else 4
+        model, key = (2, 2048) if 4000 <= epsg <= 4999 else (1, 3072)
+        self.first = {
+            33550: (12, [geotransform[1], -geotransform[5], 0.0]), 33922: (12, [0.0, 0.0, 0.0, geotransform[0], geotransform[3], 0.0]),
+            34735: (3, [1, 1, 0, 3, 1024, 0, 1, model, 1025, 0, 1, 1, key, 0, 1, epsg]), 42113: (2, nodata.encode() + b"\0"),
+        }
+        if scale:
+            items = "".join(f'<Item name="{n}" sample="0" role="{n.lower()}">{v:g}</Item>' for n, v in zip(("SCALE", "OFFSET"), scale, strict=True))
+            self.first[42112] = (2, f"<GDALMetadata>{items}</GDALMetadata>".encode() + b"\0")
+
+    def _put(self, raw: bytes) -> int:
+        """Appends bytes and says where they are."""
+        place = self.at
+        self.out.write(raw)
+        self.at += len(raw)
+        return place
+
+    def image(self, width: int, height: int, dtype: np.dtype, tiles) -> None:
+        """tiles: (tx, ty, compressed bytes) of the tiles that are not empty, in any order."""
+        across, down = -(-width // self.tile), -(-height // self.tile)
+        offsets, sizes = [0] * (across * down), [0] * (across * down)
+        for tx, ty, raw in tiles:
+            offsets[ty * across + tx], sizes[ty * across + tx] = self._put(raw), len(raw)
+        t, far = self.tile, 16 if self.big else 4
         tags = {
-            254: (4, [1 if k else 0]), 256: (4, [w]), 257: (4, [h]), 258: (3, [image.dtype.itemsize * 8]), 259: (3, [8]), 262: (3, [1]), 277: (3, [1]),
-            317: (3, [predictor]), 322: (4, [tile]), 323: (4, [tile]), 324: (16 if big else 4, offsets), 325: (16 if big else 4, sizes),
-            339: (3, [{"u": 1, "i": 2, "f": 3}[image.dtype.kind]]),
+            254: (4, [1 if self.images else 0]), 256: (4, [width]), 257: (4, [height]), 258: (3, [dtype.itemsize * 8]), 259: (3, [8]), 262: (3, [1]), 277: (3, [1]),
+            317: (3, [self.predictor]), 322: (4, [t]), 323: (4, [t]), 324: (far, offsets), 325: (far, sizes), 339: (3, [{"u": 1, "i": 2, "f": 3}[dtype.kind]]),
         }
-        if k == 0:
-            f = 2**0
-            tags |= {33550: (12, [geotransform[1] * f, -geotransform[5] * f, 0.0]), 33922: (12, [0.0, 0.0, 0.0, geotransform[0], geotransform[3], 0.0])}
-            model, key = (2, 2048) if 4000 <= epsg <= 4999 else (1, 3072)
-            tags |= {34735: (3, [1, 1, 0, 3, 1024, 0, 1, model, 1025, 0, 1, 1, key, 0, 1, epsg]), 42113: (2, nodata.encode() + b"\0")}
-            if scale:
-                items = "".join(f'<Item name="{n}" sample="0" role="{n.lower()}">{v:g}</Item>' for n, v in zip(("SCALE", "OFFSET"), scale, strict=True))
-                tags[42112] = (2, f"<GDALMetadata>{items}</GDALMetadata>".encode() + b"\0")
-        ifd = _write_directory(out, tags, big)
-        struct.pack_into("<Q" if big else "<I", out, link, ifd)
-        link = len(out) - (8 if big else 4)
-    return bytes(out)
+        tags |= {} if self.images else self.first
+        at = self.at
+        raw, ifd = _directory_bytes(tags, self.big, at)
+        self._put(raw)
+        self.out.seek(self.link)
+        self.out.write(struct.pack("<Q" if self.big else "<I", ifd))
+        self.out.seek(self.at)
+        self.link = self.at - (8 if self.big else 4)
+        self.images += 1
+
+
+def _tiles_of(image: np.ndarray, tile: int, level: int, predictor: int):
+    for ty in range(-(-image.shape[0] // tile)):
+        for tx in range(-(-image.shape[1] // tile)):
+            full = np.zeros((tile, tile), image.dtype)
+            part = image[ty * tile : (ty + 1) * tile, tx * tile : (tx + 1) * tile]
+            full[: part.shape[0], : part.shape[1]] = part
+            if full.any():
+                full = np.diff(full, axis=1, prepend=full.dtype.type(0)) if predictor == 2 else full
+                yield tx, ty, zlib.compress(full.astype(full.dtype.newbyteorder("<")).tobytes(), level)
+
+
+def write_tiled(array: np.ndarray, tile: int, geotransform: list[float], nodata: str, overviews: tuple = (), epsg: int = 4326, big: bool = True, level: int = 6, predictor: int = 2, scale: tuple | None = None) -> bytes:
+    """A tiled, Deflate-compressed TIFF with an overview chain; tiles of zeros only are absent."""
+    out = io.BytesIO()
+    w = TiledWriter(out, tile, geotransform, nodata, epsg, big, predictor, scale)
+    for image in (array, *overviews):
+        w.image(image.shape[1], image.shape[0], image.dtype, _tiles_of(image, tile, level, predictor))
+    return out.getvalue()
 
 
-def _write_directory(out: bytearray, tags: dict, big: bool) -> int:
-    """Appends values that do not fit, then the directory with its tags in order; returns its place."""
-    entries = []
+def _directory_bytes(tags: dict, big: bool, at: int) -> tuple[bytes, int]:
+    """(bytes, place of the directory in the file) of values that do not fit, then the directory with its tags in order, from place `at` on."""
+    out, entries = bytearray(), []
     for tag in sorted(tags):
         kind, values = tags[tag]
         raw = values if kind == 2 else struct.pack(f"<{len(values)}{TYPES[kind]}", *values)
         count, room = len(values), 8 if big else 4
         if len(raw) > room:
-            place = len(out)
+            place = at + len(out)
             out += raw
             raw = struct.pack("<Q" if big else "<I", place)
         entries.append(struct.pack(f"<HH{'Q' if big else 'I'}", tag, kind, count) + raw.ljust(room, b"\0"))
-    at = len(out)
+    ifd = at + len(out)
     out += struct.pack("<Q" if big else "<H", len(entries)) + b"".join(entries) + struct.pack("<Q" if big else "<I", 0)
-    return at
+    return bytes(out), ifd

