@@ -7,9 +7,12 @@ strays less than a quarter of a source pixel, else pieces of 64 pixels.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 
 from gridloom.functions.elevation import FLOOR, VOID
 from gridloom.functions.projections import forward
+from gridloom.runtime import ship_package
 
 TOLERANCE_PX = 0.25
 PIECE = 64
@@ -58,3 +61,45 @@ def sample_tile(source: np.ndarray, east: float, north: float, step: float, epsg
         mean = sign * ((2 * np.abs(s) + k) // np.maximum(2 * k, 1))
         out[y] = np.where(on & (k > 0), mean, VOID)
     return out
+
+
+def bounds_in_degrees(east: float, north: float, step: float, width: int, height: int, epsg: int) -> tuple[float, float, float, float]:
+    """(west, south, east, north) of a projected source, from nine of its points, each found by Newton steps on the projection."""
+    fn = forward(epsg)
+    e = np.repeat(east + step * width * np.array([0, 0.5, 1]), 3)
+    n = np.tile(north - step * height * np.array([0, 0.5, 1]), 3)
+    middle = {2056: (8.0, 47.0), 3857: (0.0, 0.0), 4326: (0.0, 0.0)}.get(epsg, ((epsg % 100) * 6 - 183, -45.0 if epsg >= 32700 else 45.0))
+    lon, lat = np.full(9, middle[0], float), np.full(9, middle[1], float)
+    for _ in range(50):
+        x, y = fn(lon, lat)
+        d = 1e-6
+        (xl, yl), (xp, yp) = fn(lon + d, lat), fn(lon, lat + d)
+        a, b, c, f = (xl - x) / d, (xp - x) / d, (yl - y) / d, (yp - y) / d
+        det = a * f - b * c
+        dx, dy = e - x, n - y
+        lon, lat = lon + (f * dx - b * dy) / det, np.clip(lat + (a * dy - c * dx) / det, -89.0, 89.0)
+        if max(np.abs(dx).max(), np.abs(dy).max()) < 1e-6 * step:
+            break
+    return float(lon.min()), float(lat.min()), float(lon.max()), float(lat.max())
+
+
+def sampled_tiles(pairs: DataFrame) -> DataFrame:
+    """(tile, priority, x, y, v): half metres of output tiles sampled from projected sources; voids have no row.
+
+    pairs: tile, priority, ul_lat, ul_lon, pixel_deg, size, and of the source that may
+    show there east, north, step, epsg, width, height and samples (16-bit half metres, row
+    by row, little-endian). Each pair is worked on by itself, so tiles spread over all
+    tasks; terrain.overlay() puts the sources over one another.
+    """
+
+    def run(batches):
+        for pdf in batches:
+            for p in pdf.itertuples(index=False):
+                source = np.frombuffer(p.samples, "<i2").reshape(p.height, p.width)
+                got = sample_tile(source, p.east, p.north, p.step, int(p.epsg), p.ul_lat, p.ul_lon, p.pixel_deg, int(p.size))
+                y, x = np.nonzero(got > FLOOR)
+                yield pd.DataFrame({"tile": p.tile, "priority": p.priority, "x": x, "y": y, "v": got[y, x]})
+
+    ship_package(pairs.sparkSession)
+    kinds = dict(pairs.dtypes)
+    return pairs.mapInPandas(run, f"tile {kinds['tile']}, priority {kinds['priority']}, x bigint, y bigint, v int")

@@ -45,6 +45,34 @@ def assembled(cells: DataFrame, columns: DataFrame, rows: DataFrame) -> DataFram
     return grid.join(half, ["ox", "oy"], "left").withColumn("half", F.coalesce("half", F.lit(elevation.VOID).cast("smallint")))
 
 
+def area_average(cells: DataFrame, columns: DataFrame, rows: DataFrame) -> DataFrame:
+    """(ox, oy, mean): exact integer mean of the valid half-metre samples of a source under each output cell, void without any.
+
+    cells: x, y and v of one source; columns (ox, first, last) and rows (oy, first, last)
+    are the spans of the output grid, null or empty where the source has nothing. Sums are
+    whole numbers, so they are added up by column before they meet the rows.
+    """
+    listed = lambda s, o, k: s.where("first < last").select(o, F.explode(F.sequence("first", F.col("last") - 1)).alias(k))
+    ok = cells.where(F.col("v") > elevation.FLOOR).select("x", "y", F.col("v").cast("bigint").alias("v"))
+    by_column = ok.join(listed(columns, "ox", "x"), "x").groupBy("ox", "y").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
+    both = by_column.join(listed(rows, "oy", "y"), "y").groupBy("ox", "oy").agg(elevation.exact_mean(F.sum("s"), F.sum("n")).cast("int").alias("mean"))
+    grid = columns.select("ox").crossJoin(rows.select("oy"))  # all cells of the output grid, by definition
+    return grid.join(both, ["ox", "oy"], "left").withColumn("mean", F.coalesce("mean", F.lit(elevation.VOID)))
+
+
+def nearest_assembly(cells: DataFrame, columns: DataFrame, rows: DataFrame) -> DataFrame:
+    """(ox, oy, half): the older browser rule: half metres of the one cell nearest to each output cell's middle, 0 where there is none.
+
+    cells: x, y and v (metres); columns (ox, at) and rows (oy, at) give the fractional
+    source place of each middle. It rounds half away from zero; rows beyond the last one
+    take that, columns beyond the grid have no cell.
+    """
+    c = columns.select("ox", F.round("at").cast("bigint").alias("x"))
+    r = rows.select("oy", F.least(F.greatest(F.round("at"), F.lit(0)), F.lit(255)).cast("bigint").alias("y"))
+    half = elevation.half_metres_nearest(F.col("v").cast("float").cast("double")).cast("int")
+    return c.crossJoin(r).join(cells.select("x", "y", half.alias("half")), ["x", "y"], "left").select("ox", "oy", F.coalesce("half", F.lit(0)).alias("half"))
+
+
 def upsampled(cells: DataFrame, edge: int, level: int, child_x: Column, child_y: Column) -> DataFrame:
     """(child, px, py, v): a child tile cut from its ancestor by repeating samples.
 

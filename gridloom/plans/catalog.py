@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import more_queries, raster_queries, scalar_queries, vector_queries
+from . import format_queries, more_queries, raster_queries, scalar_queries, vector_queries
 
-_PARTS = (raster_queries, scalar_queries, vector_queries, more_queries)
+_PARTS = (raster_queries, scalar_queries, vector_queries, more_queries, format_queries)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 SQL = {k: v for p in _PARTS for k, v in p.SQL.items()}
