@@ -177,7 +177,8 @@ def backfill_stats(spark, sf):
     return runs.backfill_tally(_fills(spark, sf), "job")
 
 
-@query("""SELECT c_custkey AS job, len(src) AS n, array_to_string(list_transform(src, lambda s: s), ',') AS paths FROM (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN ['base_' || c_custkey, 'swiss_a', 'swiss_b'] WHEN c_custkey % 3 = 1 THEN ['own_' || c_custkey] ELSE ['base_' || c_custkey] END AS src FROM customer)""")
+@query("""WITH j AS (SELECT c_custkey AS job, CASE WHEN c_custkey % 3 = 1 THEN ['own_' || c_custkey] END AS own, CASE WHEN c_custkey % 3 <> 1 THEN 'base_' || c_custkey END AS base, CASE WHEN c_custkey % 3 = 0 THEN ['swiss_a', 'swiss_b'] END AS extra FROM customer),
+s AS (SELECT job, CASE WHEN own IS NOT NULL THEN own ELSE list_concat(CASE WHEN base IS NULL THEN [] ELSE [base] END, coalesce(extra, [])) END AS src FROM j) SELECT job, len(src) AS n, array_to_string(src, ',') AS paths FROM s""")
 def job_sources(spark, sf):
     k = F.col("c_custkey")
     own = F.when(k % 3 == 1, F.array(F.concat(F.lit("own_"), k)))

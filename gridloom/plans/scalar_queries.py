@@ -150,7 +150,8 @@ def url_shards(spark, sf):
     return li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), T.tile_url(t, F.lit(12), F.col("l_partkey") % 64, F.col("l_suppkey") % 64).alias("url"))
 
 
-@query("SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN CAST(o_custkey AS BIGINT) WHEN 3 THEN 5 ELSE 0 END AS waypoint FROM orders")
+@query(r"""WITH p AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN '/data/wp_' || o_custkey || '/a.bit' WHEN 1 THEN '/data/wp_x9/a.bit' WHEN 2 THEN '/data/a.tif' ELSE '/wp_5/wp_6/a.bit' END AS path FROM orders)
+SELECT id, coalesce(TRY_CAST(regexp_extract(path, 'wp_([^/\\]*)', 1) AS BIGINT), 0) AS waypoint FROM p""")
 def wp_id(spark, sf):
     k = F.col("o_orderkey")
     own = F.concat(F.lit("/data/wp_"), F.col("o_custkey").cast("string"), F.lit("/a.bit"))
@@ -158,8 +159,11 @@ def wp_id(spark, sf):
     return V.table(spark, sf, "orders").select(k.alias("id"), T.waypoint_id(path).alias("waypoint"))
 
 
-@query("""SELECT c_custkey AS id, CAST(CASE c_custkey % 5 WHEN 0 THEN 2056 WHEN 1 THEN 4326 WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE NULL END AS INT) AS epsg,
-CASE c_custkey % 3 WHEN 0 THEN '+proj=longlat +datum=WGS84' WHEN 1 THEN '+proj=somerc (LV95)' END AS definition FROM customer""")
+@query(r"""WITH d AS (SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN [1, 1, 0, 2, 2048, 0, 1, 4150, 3072, 0, 1, 2056] WHEN 1 THEN [1, 1, 0, 1, 2048, 0, 1, 4326] WHEN 2 THEN [1, 1, 0, 2, 2048, 0, 1, 4326, 3072, 0, 1, 32767] WHEN 3 THEN [1, 1, 0, 1, 3072, 34737, 1, 2056] ELSE [1, 1] END AS d,
+  CASE c_custkey % 3 WHEN 0 THEN 'EPSG:4326' WHEN 1 THEN 'epsg:2056' ELSE 'EPSG:99999' END AS crs FROM customer),
+e AS (SELECT id, crs, len(d) AS n, list_transform(range(0, greatest(least(coalesce(d[4], 0), (len(d) - 4) // 4), 0)), lambda i: {'key': d[4 * i + 5], 'place': d[4 * i + 6], 'v': d[4 * i + 8]}) AS keys FROM d),
+f AS (SELECT id, crs, n, list_filter(keys, lambda k: k.key = 3072 AND k.place = 0)[-1].v AS projected, list_filter(keys, lambda k: k.key = 2048 AND k.place = 0)[-1].v AS geographic FROM e)
+SELECT id, CAST(CASE WHEN n >= 4 THEN nullif(nullif(coalesce(projected, geographic), 0), 32767) END AS INT) AS epsg, CASE TRY_CAST(regexp_extract(upper(crs), '^EPSG:([0-9]+)$', 1) AS INT) WHEN 4326 THEN '+proj=longlat +datum=WGS84' WHEN 2056 THEN '+proj=somerc (LV95)' WHEN 3857 THEN '+proj=webmerc' WHEN 21781 THEN '+proj=somerc (LV03)' END AS definition FROM f""")
 def geokey_epsg(spark, sf):
     k = F.col("c_custkey")
     keys = lambda *v: F.array(*[F.lit(x) for x in v])
@@ -174,9 +178,10 @@ def geokey_epsg(spark, sf):
     return V.table(spark, sf, "customer").select(k.alias("id"), T.epsg_of_geokeys(d).alias("epsg"), T.crs_definition(crs).alias("definition"))
 
 
-@query("""SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 'nan' WHEN 1 THEN '-inf' WHEN 2 THEN '-9999.0' END AS nodata, CAST(CASE WHEN s_suppkey % 2 = 0 THEN 0.5 END AS DOUBLE) AS scale,
-CASE s_suppkey % 3 WHEN 0 THEN 'uint8' WHEN 1 THEN 'int16' ELSE 'float32' END AS dtype, CASE s_suppkey % 4 WHEN 0 THEN 'none' WHEN 1 THEN 'lzw' WHEN 2 THEN 'deflate' ELSE 'unknown-99' END AS compression,
-s_suppkey % 4 < 3 AS decodable FROM supplier""")
+@query(r"""WITH t AS (SELECT s_suppkey AS id, lower(trim(CASE s_suppkey % 4 WHEN 0 THEN 'NaN' WHEN 1 THEN ' -inf ' WHEN 2 THEN '-9999' ELSE 'none' END)) AS low, CASE WHEN s_suppkey % 2 = 0 THEN '<M><Item name="SCALE" sample="0" role="scale">0.5</Item></M>' ELSE '<M></M>' END AS xml,
+  s_suppkey % 3 + 1 AS kind, [8, 16, 32][s_suppkey % 3 + 1] AS bits, [1, 5, 8, 99][s_suppkey % 4 + 1] AS code FROM supplier)
+SELECT id, CASE WHEN low IN ('nan', '-nan') THEN 'nan' WHEN low IN ('inf', '+inf', 'infinity') THEN 'inf' WHEN low IN ('-inf', '-infinity') THEN '-inf' ELSE CAST(TRY_CAST(low AS DOUBLE) AS VARCHAR) END AS nodata, TRY_CAST(nullif(regexp_extract(xml, 'name="SCALE"[^>]*>([^<]*)<', 1), '') AS DOUBLE) AS scale,
+['uint', 'int', 'float'][kind] || bits AS dtype, CASE code WHEN 1 THEN 'none' WHEN 5 THEN 'lzw' WHEN 7 THEN 'jpeg' WHEN 8 THEN 'deflate' WHEN 32773 THEN 'packbits' ELSE 'unknown-' || code END AS compression, code IN (1, 5, 8, 32773, 32946) AS decodable FROM t""")
 def header_texts(spark, sf):
     k = F.col("s_suppkey")
     nodata = F.when(k % 4 == 0, "NaN").when(k % 4 == 1, " -inf ").when(k % 4 == 2, "-9999").otherwise("none")
@@ -187,8 +192,9 @@ def header_texts(spark, sf):
     return s.select(k.alias("id"), T.nodata_text(nodata).alias("nodata"), T.metadata_item(xml, "SCALE").alias("scale"), T.dtype_name(kind, bits).alias("dtype"), T.compression_name(code).alias("compression"), code.isin(*T.DECODABLE).alias("decodable"))
 
 
-@query("""SELECT s_suppkey AS id, CAST(CASE WHEN s_suppkey % 3 = 0 THEN least(s_suppkey, 120) END AS BIGINT) AS wait, CASE WHEN s_suppkey % 2 = 0 THEN 12 END AS z, CASE WHEN s_suppkey % 2 = 0 THEN CAST(s_suppkey AS INT) END AS x,
-CAST(CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey // 2 ELSE -(s_suppkey + 1) // 2 END AS BIGINT) AS zig FROM supplier""")
+@query(r"""WITH t AS (SELECT s_suppkey AS id, trim(CASE WHEN s_suppkey % 3 = 0 THEN ' ' || s_suppkey ELSE 'soon' END) AS said, CASE WHEN s_suppkey % 2 = 0 THEN '12_' || s_suppkey || '_7.pbf' ELSE '12_7.pbf' END AS name FROM supplier)
+SELECT id, least(CASE WHEN regexp_full_match(said, '[0-9]+') THEN CAST(said AS BIGINT) END, CASE WHEN regexp_full_match(said, '[0-9]+') THEN 120 END) AS wait, TRY_CAST(nullif(regexp_extract(name, '^([0-9]+)_([0-9]+)_([0-9]+)\.(pbf|mvt)$', 1), '') AS INT) AS z,
+TRY_CAST(nullif(regexp_extract(name, '^([0-9]+)_([0-9]+)_([0-9]+)\.(pbf|mvt)$', 2), '') AS INT) AS x, CAST(xor(id >> 1, -(id & 1)) AS BIGINT) AS zig FROM t""")
 def codes_and_names(spark, sf):
     k = F.col("s_suppkey")
     wait = F.when(k % 3 == 0, F.concat(F.lit(" "), k.cast("string"))).otherwise("soon")

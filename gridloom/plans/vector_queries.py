@@ -152,7 +152,8 @@ def burn_canopy(spark, sf):
     return vector.burn_forest(_ground(spark, sf), cover, 30, obs, 1).select("x", "y", "v", F.col("burned").cast("int").alias("burned"))
 
 
-_ATTEMPTS = """att AS (SELECT user_id AS run, CASE event_id % 9 WHEN 0 THEN 'http_404' WHEN 1 THEN 'http_503' WHEN 2 THEN 'timeout' WHEN 3 THEN 'connect' WHEN 4 THEN 'decode' WHEN 5 THEN 'other' END AS kind, event_id % 4 = 0 AS filled FROM events)"""
+_ATTEMPTS = """said AS (SELECT user_id AS run, CASE event_id % 9 WHEN 0 THEN 'tile: HTTP 404 Not Found' WHEN 1 THEN 'tile: HTTP 503' WHEN 2 THEN 'operation timed out' WHEN 3 THEN 'dns error' WHEN 4 THEN 'bad PNG' WHEN 5 THEN 'odd' END AS s, event_id % 4 = 0 AS filled FROM events),
+att AS (SELECT run, filled, CASE WHEN s IS NULL THEN NULL WHEN contains(s, 'HTTP ') THEN 'http_' || regexp_extract(s, 'HTTP ([0-9]+)', 1) WHEN contains(s, 'timed out') THEN 'timeout' WHEN regexp_matches(s, 'onnect|dns|resolve') THEN 'connect' WHEN regexp_matches(s, 'decode|png|PNG|nvalid|XYZ tile geometry') THEN 'decode' ELSE 'other' END AS kind FROM said)"""
 
 
 def _attempts(spark, sf):
@@ -168,7 +169,7 @@ def failure_classes(spark, sf):
     return runs.failure_tally(_attempts(spark, sf), "run")
 
 
-@query(f"WITH {_ATTEMPTS} SELECT kind, count(*) AS n, kind IN ('http_503', 'timeout', 'connect') AS again FROM att WHERE kind IS NOT NULL GROUP BY kind")
+@query(f"WITH {_ATTEMPTS} SELECT kind, count(*) AS n, kind IN ('timeout', 'connect') OR coalesce(TRY_CAST(replace(kind, 'http_', '') AS INT) = 429 OR TRY_CAST(replace(kind, 'http_', '') AS INT) BETWEEN 500 AND 599, false) AS again FROM att WHERE kind IS NOT NULL GROUP BY kind")
 def failure_kinds(spark, sf):
     a = _attempts(spark, sf).where("kind is not null")
     return a.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).withColumn("again", T.retryable(F.col("kind")))
