@@ -2,8 +2,8 @@
 
 A text is cut by the tokenizer's pattern; each piece is encoded apart: as one id if the
 rank map has it, else by merging, again and again, the leftmost pair of lowest rank.
-A task encodes a word once and keeps it in a bounded memory of words, which only saves
-work. Decoding joins the bytes that the ids stand for.
+A task folds the merges of its new distinct words together, those of one length in one
+array, and keeps words in a bounded memory, which only saves work. Decoding joins the bytes that the ids stand for.
 
 Two forms share the algorithm: `encode_documents` runs it in Arrow batches and is what
 the query uses; `encoder` says the same in Spark's higher-order functions, with the ranks
@@ -32,8 +32,9 @@ RANKS = "byte_bpe_multi_50k.tiktoken"  #: file of ranks, by its name among the p
 REMEMBERED = 150_000  #: words that a task keeps with their ids, in each of two generations
 STEP = 512  #: texts whose ids are handed back at once
 NONE = 1 << 62  #: rank of a pair that no merge joins
-MARKS = ".,;:!?"  #: marks that follow a word as a piece of their own
+ENDS = ".,;:!?\n"  #: marks, and a line feed after them, that follow a word as pieces of their own
 LONG = 256  #: bytes from which a piece is merged with a heap
+FOLDED = 64  #: bytes up to which new pieces of one length are folded together
 BUCKETS = 8192  #: of the literal maps
 
 # The tokenizer's pattern with white space by Unicode, as its own library reads it.
@@ -43,6 +44,8 @@ PATTERN = public_tokenizers.PATTERN.replace(r"[^\s\p{L}", r"[^\p{White_Space}\p{
 
 #: Where cutting a text before each blank could cut a piece: a blank between two white-space characters or at the end after one.
 _AMONG_BLANKS = re.compile(r"\s (?:\s|\Z)")
+#: After a line feed that is the only white space between two words, where a piece ends either way.
+_LINES = re.compile(r"(?<=\S\n)(?=\S)")
 
 
 @lru_cache(maxsize=4)
@@ -95,58 +98,153 @@ def _fold_long(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return out
 
 
+@lru_cache(maxsize=4)
+def pair_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, ids, first): the sorted pairs of tokens, left id times 2^32 plus right id, that merge; what they merge to; and the ids of the 256 bytes."""
+    ranks = load_ranks(path)
+    found = [(a << 32 | b, v) for token, v in ranks.items() for k in range(1, len(token)) if (a := ranks.get(token[:k])) is not None and (b := ranks.get(token[k:])) is not None]
+    pairs = np.array(sorted(found), np.int64).reshape(-1, 2)
+    return pairs[:, 0].copy(), pairs[:, 1].copy(), np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+
+
+def _merged(keys: np.ndarray, ids: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """What neighbours merge to, NONE where they do not or where one is not there (negative)."""
+    pair = left << np.int64(32) | right
+    at = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+    return np.where((keys[at] == pair) & (left >= 0) & (right >= 0), ids[at], NONE)
+
+
+def fold_words(pieces: list[bytes], path: str) -> list[bytes]:
+    """fold_merges() of many pieces of one length at once: in every turn each merges its leftmost pair of lowest rank. Ids come as bytes of 32-bit integers."""
+    keys, ids, first = pair_table(path)
+    n, size = len(pieces), len(pieces[0])
+    part = first[np.frombuffer(b"".join(pieces), np.uint8).reshape(n, size)]
+    rank = _merged(keys, ids, part[:, :-1], part[:, 1:])
+    row = np.arange(n)
+    while len(row):
+        own = rank[row]
+        k = own.argmin(axis=1)
+        least = own[np.arange(len(row)), k]
+        go = least < NONE
+        row, k, least = row[go], k[go], least[go]
+        if not len(row):
+            break
+        # what lies behind the pair moves up by one
+        a, r = part[row], own[go]
+        col = np.arange(size)
+        a = np.take_along_axis(a, np.minimum(col + (col > k[:, None]), size - 1), axis=1)
+        a[:, -1] = -1
+        r = np.take_along_axis(r, np.minimum(col[:-1] + (col[:-1] >= k[:, None]), size - 2), axis=1)
+        r[:, -1] = NONE
+        i = np.arange(len(row))
+        a[i, k] = least
+        r[i, np.minimum(k, size - 2)] = np.where(k < size - 1, _merged(keys, ids, least, a[i, np.minimum(k + 1, size - 1)]), NONE)
+        before = k > 0
+        r[i[before], k[before] - 1] = _merged(keys, ids, a[i[before], k[before] - 1], least[before])
+        part[row], rank[row] = a, r
+    there = part >= 0
+    raw, ends = part[there].astype("<i4").tobytes(), np.concatenate([[0], np.cumsum(there.sum(axis=1))]) * 4
+    return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
 class WordEncoder:
     """Encodes whole texts, distinct words once while they are remembered.
 
-    Ids are kept as bytes of 32-bit integers, so a text's ids are one join. Words are kept
-    in two generations: when the young one is full it becomes the old one, and words met
-    again are young again.
+    Texts are cut before blanks and after single line feeds, where no piece can lie across
+    the cut, so a text's ids are those of its words, joined. Words are kept in two
+    generations: when the young one is full it becomes the old one, and words met again
+    are young again.
     """
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, path: str):
         import regex
 
-        self.ranks, self.cut = ranks, regex.compile(PATTERN).findall
+        ranks = load_ranks(path)
+        self.path, self.ranks, self.cut = path, ranks, regex.compile(PATTERN).findall
         self.coded = {k: v.to_bytes(4, "little") for k, v in ranks.items()}
-        self.young: dict[str, bytes] = {}
+        self.folded: dict[bytes, bytes] = {}
+        self.young: dict[str, bytes] = {}  # of words with a blank before them
         self.old: dict[str, bytes] = {}
-        self.marks = {c: self.piece(c) for c in MARKS}
+        self.heads: dict[str, bytes] = {}  # of words that begin a text or a line
+        self.tails: dict[str, bytes] = {}
 
-    def piece(self, piece: str) -> bytes:
-        raw = piece.encode("utf-8", "surrogatepass")
-        one = self.coded.get(raw)
+    def piece(self, raw: bytes) -> bytes:
+        one = self.coded.get(raw) or self.folded.get(raw)
         return b"".join(map(self.coded.__getitem__, fold_merges(raw, self.ranks))) if one is None else one
 
     def pieces(self, text: str) -> bytes:
-        return b"".join(map(self.piece, self.cut(text)))
+        return b"".join([self.piece(p.encode("utf-8", "surrogatepass")) for p in self.cut(text)])
 
-    def word(self, word: str) -> bytes:
-        """Ids of a blank and the word after it; a word of letters and one mark are two pieces."""
-        ids = self.old.get(word)
+    def _tail(self, tail: str) -> bytes:
+        ids = self.tails.get(tail)
         if ids is None:
-            if word.isalpha():
-                ids = self.piece(" " + word)
-            elif word[-1:] in self.marks and word[:-1].isalpha():
-                ids = (self.young.get(word[:-1]) or self.word(word[:-1])) + self.marks[word[-1]]
-            else:
-                ids = self.pieces(" " + word)
-        if len(word) < LONG:
-            if len(self.young) >= REMEMBERED:
-                self.young, self.old = {}, self.young
-            self.young[word] = ids
+            ids = self.pieces(tail)
+            if len(tail) < LONG and len(self.tails) < REMEMBERED:
+                self.tails[tail] = ids
         return ids
 
-    def encode(self, text: str | None) -> np.ndarray:
-        """Ids of a text. Cut before every blank, its parts have the ids of the whole, but among blanks."""
-        if not text:
-            return np.zeros(0, np.int32)
-        if _AMONG_BLANKS.search(text):
-            return np.frombuffer(self.pieces(text), "<i4")
-        first, *rest = text.split(" ")
-        found = list(map(self.young.get, rest))
-        if None in found:
-            found = [self.word(w) if ids is None else ids for w, ids in zip(rest, found, strict=True)]
-        return np.frombuffer(self.pieces(first) + b"".join(found), "<i4")
+    def learn(self, words: set[str], heads: set[str]) -> None:
+        """Makes the ids of words and heads known: new pieces of one length are folded together."""
+        if len(self.young) >= REMEMBERED:
+            self.young, self.old = {}, self.young
+        if len(self.heads) >= REMEMBERED:
+            self.heads = {}
+        young, old, coded = self.young, self.old, self.coded
+        fresh = [w for w in words if w not in young]
+        again = {w: old[w] for w in fresh if w in old}
+        young.update(again)
+        plain, others, new = [], [], set()
+        for known, blank, some in ((young, " ", [w for w in fresh if w not in again]), (self.heads, "", [w for w in heads if w not in self.heads])):
+            # letters, then marks, then at most one line feed: the letters are one piece
+            cores = [w.rstrip(ENDS) for w in some]
+            easy = [c.isalpha() and "\n" not in w[len(c) : -1] for w, c in zip(some, cores, strict=True)]
+            own = [(w, c) for w, c, e in zip(some, cores, easy, strict=True) if e]
+            raws = [(blank + c).encode("utf-8", "surrogatepass") for _, c in own]
+            cut = {w: [p.encode("utf-8", "surrogatepass") for p in self.cut(blank + w)] for w, e in zip(some, easy, strict=True) if not e}
+            plain.append((known, own, raws))
+            others.append((known, cut))
+            new.update(raws, *cut.values())
+        new.difference_update(coded)
+        by_size: dict[int, list[bytes]] = {}
+        for p in new:
+            if 1 < len(p) <= FOLDED:
+                by_size.setdefault(len(p), []).append(p)
+        folded = self.folded = {}
+        for same in by_size.values():
+            folded.update(zip(same, fold_words(same, self.path), strict=True))
+        piece, tail = self.piece, self._tail
+        for known, own, raws in plain:
+            ids = [coded.get(r) or folded.get(r) or piece(r) for r in raws]
+            known.update([(w, i) if len(w) == len(c) else (w, i + tail(w[len(c) :])) for (w, c), i in zip(own, ids, strict=True)])
+        for known, cut in others:
+            known.update([(w, b"".join(map(piece, own))) for w, own in cut.items()])
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text."""
+        cut = [None if not t else t if _AMONG_BLANKS.search(t) else [line.split(" ") for line in _LINES.split(t)] for t in texts]
+        words: set[str] = set()
+        heads: set[str] = set()
+        for lines in cut:
+            if isinstance(lines, list):
+                for line in lines:
+                    heads.add(line[0])
+                    words.update(line[1:])
+        self.learn(words, heads)
+        young, known, out = self.young, self.heads, []
+        for lines in cut:
+            if lines is None:
+                raw = b""
+            elif isinstance(lines, str):
+                raw = self.pieces(lines)
+            else:
+                raw = b"".join([x for line in lines for x in (known[line[0]], *[young[w] for w in line[1:]])])
+            out.append(np.frombuffer(raw, "<i4"))
+        # words too long to be met again are not kept
+        for memory, own in ((young, words), (known, heads)):
+            for w in own:
+                if len(w) >= LONG:
+                    memory.pop(w, None)
+        return out
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -156,13 +254,13 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     give no rows; a piece of any length costs n log n. Columns of docs stay, and where
     one is called ids, the new one is called ids_ (see free_names).
     """
-    ranks, (name,) = load_ranks(path), free_names(docs, "ids")
+    (name,) = free_names(docs, "ids")
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = WordEncoder(ranks)
+        encoder = WordEncoder(path)
         for texts in batches:
             for lo in range(0, len(texts), STEP):
-                ids = [encoder.encode(t.as_py()) for t in texts.slice(lo, STEP)]
+                ids = encoder.encode(texts.slice(lo, STEP).to_pylist())
                 ends = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
                 yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
 

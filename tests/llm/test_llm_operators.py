@@ -227,6 +227,23 @@ def test_higher_order_form_gives_the_same_ids(spark, reference):
         assert r["ids"] == reference.encode_ordinary(texts[r["doc_id"]])
 
 
+def test_pieces_of_one_length_fold_alike():
+    ranks, rng = bpe.load_ranks(PATH), random.Random(14)
+    for n in (2, 3, 5, 9, 17, 64):
+        pieces = list({"".join(rng.choice(" thereandonins\u00e9z") for _ in range(n)).encode()[:n] for _ in range(300)})
+        pieces = [p for p in pieces if len(p) == n]
+        want = [b"".join(ranks[x].to_bytes(4, "little") for x in bpe.fold_merges(p, ranks)) for p in pieces]
+        assert bpe.fold_words(pieces, PATH) == want
+
+
+def test_words_are_forgotten_and_learnt_again(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 20)
+    rng, encoder = random.Random(15), bpe.WordEncoder(PATH)
+    for _ in range(30):
+        texts = ["".join(rng.choice(["ab", "cde", " ", "\n", ".", "...", "\n\n", " x", "9", "\r\n", "é", "w" * 300]) for _ in range(rng.randint(0, 30))) for _ in range(20)] + [None]
+        assert [list(i) for i in encoder.encode(texts)] == [reference.encode_ordinary(t or "") for t in texts]
+
+
 def test_long_pieces_merge_alike():
     ranks = bpe.load_ranks(PATH)
     rng = random.Random(4)
