@@ -66,6 +66,26 @@ def metadata_item(xml: Column, name: str) -> Column:
     return F.regexp_extract(xml, f'name="{name}"[^>]*>([^<]*)<', 1).try_cast("double")
 
 
+def scale_and_offset(xml: Column) -> Column:
+    """struct(scale, offset) that the items of the first band say; null where that changes nothing.
+
+    An item counts if its sample is 0 and its role, or without one its name, is scale or
+    offset; the last one wins. A value that is no finite number is an error.
+    """
+    part = lambda i: F.regexp_extract_all(xml, F.lit(r"<Item([^>]*[^>/])>([^<]*)</Item>"), F.lit(i))
+    said = lambda head, name: F.when(head.rlike(rf'\b{name}="'), F.regexp_extract(head, rf'\b{name}="([^"]*)"', 1))
+    items = F.zip_with(part(1), part(2), lambda head, value: F.struct(said(head, "sample").alias("sample"), F.lower(F.coalesce(said(head, "role"), said(head, "name"))).alias("role"), F.trim(value).alias("value")))
+
+    def value(role: str, default: float) -> Column:
+        text = F.try_element_at(F.filter(items, lambda x: (x["sample"] == "0") & (x["role"] == role)), F.lit(-1))["value"]
+        number = text.try_cast("double")
+        bad = number.isNull() | F.isnan(number) | (F.abs(number) == float("inf"))
+        return F.when(text.isNull(), F.lit(default)).when(bad, F.raise_error(F.concat(F.lit(f"{role} "), text, F.lit(" is not a finite number"))).cast("double")).otherwise(number)
+
+    scale, offset = value("scale", 1.0), value("offset", 0.0)
+    return F.when((scale != 1.0) | (offset != 0.0), F.struct(scale.alias("scale"), offset.alias("offset")))
+
+
 def nodata_text(s: Column) -> Column:
     """A nodata text as number or special name; null if it is neither."""
     low = F.lower(F.trim(s))
@@ -122,6 +142,11 @@ def degraded_line(z: Column, x: Column, y: Column, reason: Column, filled_zoom:
     return F.format_string("[Degraded] z=%d x=%d y=%d reason=%s filled_from=z%d", z, x, y, reason, filled_zoom)
 
 
+def stall_line(z: Column, x: Column, y: Column, first_byte_s: Column, gap_s: Column) -> Column:
+    tenths = lambda v: F.bround(v, 1)  # noqa: E731  halves go to the even tenth
+    return F.format_string("[Download] STALL tile z=%d/x=%d/y=%d: first byte after %.1fs, longest body gap %.1fs", z, x, y, tenths(first_byte_s), tenths(gap_s))
+
+
 def backfill_line(z: Column, x: Column, y: Column, void: Column, seam: Column, left: Column, filled: Column) -> Column:
     """The line of a tile with void samples; filled: array of (zoom, n), what each coarser zoom filled."""
     each = F.array_join(F.transform(filled, lambda f: F.format_string("z%d %d", f["zoom"], f["n"])), ", ")

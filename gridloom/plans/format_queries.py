@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from gridloom.functions import grids as G
+from gridloom.functions import text
 from gridloom.operators import mosaic, projected, resample, terrain, vector
 from gridloom.runtime import ship_package
 from gridloom.sources import containers, flatgeobuf, mvt, readers, sinks, tiff
@@ -319,3 +320,24 @@ def terrain_headers(spark, sf):
 
     s = V.table(spark, sf, "supplier").select(F.format_string("raster_%d.tif", "s_suppkey").alias("path"), made("s_suppkey").alias("content"))
     return readers.source_headers(s).select("path", "error", "width", "west", "nodata", "scale")
+
+
+@query("""WITH t AS (SELECT s_suppkey AS id, CASE s_suppkey % 6 WHEN 0 THEN '<M><Item name="SCALE" sample="0" role="scale">0.5</Item><Item name="OFFSET" sample="0" role="offset">' || s_suppkey || '</Item></M>' WHEN 1 THEN '<M><Item name="scale" sample="0">0.25</Item></M>'
+ WHEN 2 THEN '<M><Item name="SCALE" sample="1" role="scale">9</Item><Item name="SCALE">7</Item></M>' WHEN 3 THEN '<M><Item name="SCALE" sample="0" role="scale">1</Item></M>' WHEN 4 THEN '<M><Item name="X" sample="0" role="Offset"> 4 </Item><Item name="Y" sample="0" role="offset">6</Item></M>' ELSE '' END AS xml FROM supplier),
+i AS (SELECT id, unnest(regexp_extract_all(xml, '<Item([^>]*[^>/])>([^<]*)</Item>', 1)) AS head, unnest(regexp_extract_all(xml, '<Item([^>]*[^>/])>([^<]*)</Item>', 2)) AS value, unnest(range(len(regexp_extract_all(xml, '<Item([^>]*[^>/])>([^<]*)</Item>', 1)))) AS k FROM t),
+r AS (SELECT id, k, lower(coalesce(nullif(regexp_extract(head, 'role="([^"]*)"', 1), ''), regexp_extract(head, 'name="([^"]*)"', 1))) AS role, CAST(trim(value) AS DOUBLE) AS v FROM i WHERE contains(head, 'sample="0"')),
+p AS (SELECT id, coalesce(arg_max(v, k) FILTER (role = 'scale'), 1.0::DOUBLE) AS scale, coalesce(arg_max(v, k) FILTER (role = 'offset'), 0.0::DOUBLE) AS "offset" FROM r GROUP BY id)
+SELECT t.id, CASE WHEN scale <> 1 OR "offset" <> 0 THEN scale END AS scale, CASE WHEN scale <> 1 OR "offset" <> 0 THEN "offset" END AS "offset" FROM t LEFT JOIN p USING (id)""")
+def scale_items(spark, sf):
+    k = F.col("s_suppkey")
+    item = lambda name, rest, value: F.concat(F.lit(f'<Item name="{name}"{rest}>'), value if not isinstance(value, str) else F.lit(value), F.lit("</Item>"))
+    whole = lambda *items: F.concat(F.lit("<M>"), *items, F.lit("</M>"))
+    xml = (
+        F.when(k % 6 == 0, whole(item("SCALE", ' sample="0" role="scale"', "0.5"), item("OFFSET", ' sample="0" role="offset"', k.cast("string"))))
+        .when(k % 6 == 1, whole(item("scale", ' sample="0"', "0.25")))
+        .when(k % 6 == 2, whole(item("SCALE", ' sample="1" role="scale"', "9"), item("SCALE", "", "7")))
+        .when(k % 6 == 3, whole(item("SCALE", ' sample="0" role="scale"', "1")))
+        .when(k % 6 == 4, whole(item("X", ' sample="0" role="Offset"', " 4 "), item("Y", ' sample="0" role="offset"', "6")))
+        .otherwise("")
+    )
+    return V.table(spark, sf, "supplier").select(k.alias("id"), text.scale_and_offset(xml).alias("s")).select("id", "s.*")

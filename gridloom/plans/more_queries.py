@@ -17,6 +17,8 @@ from . import views as V
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+STALL_LINES = 5  #: stalled tiles that a run lists, as in the reference
+STALL_S = 5.0  #: seconds without a byte from which a tile counts as stalled
 DEGRADED_LIST_CAP = 20_000  #: lines that a run lists before it only counts the rest, as in the reference
 
 
@@ -149,6 +151,16 @@ def degraded_lines(spark, sf):
     return runs.capped_lines(lines, DEGRADED_LIST_CAP, "[Degraded] … %d more not listed")
 
 
+@query("""WITH t AS (SELECT o_orderkey AS id, format('[Download] STALL tile z=12/x={}/y={}: first byte after {:.1f}s, longest body gap {:.1f}s', o_orderkey % 64, o_custkey % 64, o_orderkey % 300 / 8.0::DOUBLE, o_custkey % 50 / 4.0::DOUBLE) AS line FROM orders WHERE o_orderkey % 300 > 40)
+(SELECT id, line FROM t ORDER BY id LIMIT 5) UNION ALL SELECT NULL, '[Download] (suppressing further stall warnings; [Stats] STALL counts them all)' FROM t HAVING count(*) > 5""")
+def stall_lines(spark, sf):
+    """The first five stalled tiles and the note that stands for the rest."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    t = V.table(spark, sf, "orders").where(k % 300 / F.lit(8.0) > STALL_S)
+    lines = t.select(k.alias("id"), text.stall_line(F.lit(12), k % 64, c % 64, k % 300 / F.lit(8.0), c % 50 / F.lit(4.0)).alias("line"))
+    return runs.capped_lines(lines, STALL_LINES, "[Download] (suppressing further stall warnings; [Stats] STALL counts them all)")
+
+
 _FILLS = "t AS (SELECT o_orderkey AS id, o_custkey % 7 AS job, o_orderkey % 300 AS void, o_orderkey % 300 * (o_custkey % 3) // 4 AS left_, o_orderkey % 300 // 3 AS seam, o_orderkey % 300 * (o_custkey % 3) // 4 // 3 AS seam_left, o_orderkey % 64 AS x, o_custkey % 64 AS y FROM orders)"
 
 
