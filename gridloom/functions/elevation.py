@@ -92,6 +92,17 @@ def coverage_byte(v: Column, scale: float, offset: float) -> Column:
     return F.when(v <= FLOOR, 0).otherwise(F.greatest(F.least(code, F.lit(255.0)), F.lit(0.0)).cast("int"))
 
 
+def coverage_byte_of(x: Column, bits: int, scale: float = 1.0, offset: float = 0.0) -> Column:
+    """A raw sample of 1, 8, 16 (signed) or 32 (float) bits as a coverage byte; see coverage_byte for the last."""
+    if bits == 32:
+        f = x.cast("float")
+        code = ((f - F.lit(offset).cast("float")) / F.lit(scale).cast("float")).cast("float")
+        return F.when((f <= FLOOR) | F.isnan(f), 0).otherwise(F.greatest(F.least(code, F.lit(255.0).cast("float")), F.lit(0.0).cast("float")).cast("int"))
+    if bits == 16:
+        return F.greatest(F.least(x.cast("int"), F.lit(255)), F.lit(0))
+    return F.when(x == 0, 0).otherwise(1) if bits == 1 else x.cast("int")
+
+
 def metres_of_rgb(r: Column, g: Column, b: Column) -> Column:
     """First RGB code: r * 256 + g + b / 256 - 32768."""
     return (r * 256.0 + g + b / 256.0) - 32768.0

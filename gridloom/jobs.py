@@ -32,7 +32,8 @@ def _opened(path: str, content: bytes, sidecar: bytes | None):
     h = tiff.read_header(content)
     if h.geotransform is None:
         raise tiff.TiffError("no georeference")
-    return h.geotransform, h.size, lambda y, n: tiff.read_window(content, h, 0, y, h.size[0], n)
+    _, scale, offset = tiff.sample_rules(h)
+    return h.geotransform, h.size, lambda y, n: tiff.coverage_bytes(tiff.read_window(content, h, 0, y, h.size[0], n), scale or 1.0, offset or 0.0)
 
 
 def qualified(spark: SparkSession, path: str) -> str:

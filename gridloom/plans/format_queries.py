@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from gridloom.functions import elevation as E
 from gridloom.functions import grids as G
 from gridloom.functions import text
 from gridloom.operators import mosaic, projected, resample, terrain, vector
@@ -341,3 +342,10 @@ def scale_items(spark, sf):
         .otherwise("")
     )
     return V.table(spark, sf, "supplier").select(k.alias("id"), text.scale_and_offset(xml).alias("s")).select("id", "s.*")
+
+
+@query(f"""WITH {V.ELEV} SELECT event_id, CASE WHEN v = 0 THEN 0 ELSE 1 END AS of_bit, greatest(least(v, 255), 0) AS of_short,
+CASE WHEN CAST(metres AS FLOAT) <= -5000 THEN 0 ELSE CAST(trunc(greatest(least(CAST((CAST(metres AS FLOAT) - (-150.0)::FLOAT) / 0.5::FLOAT AS FLOAT), 255.0::FLOAT), 0.0::FLOAT)) AS INT) END AS of_float FROM elev""")
+def coverage_bytes(spark, sf):
+    of = E.coverage_byte_of
+    return V.elev(spark, sf).select("event_id", of(F.col("v"), 1).alias("of_bit"), of(F.col("v"), 16).alias("of_short"), of(F.col("metres"), 32, 0.5, -150.0).alias("of_float"))

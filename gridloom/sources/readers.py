@@ -85,6 +85,11 @@ def tiff_cells(spark: SparkSession, path: str) -> DataFrame:
     return files(spark, path, "*.tif").select("path", "content").mapInPandas(run, CELLS)
 
 
+def raster_cells(spark: SparkSession, path: str) -> DataFrame:
+    """Non-zero cells of all rasters under a path, opened by what their names end in: .tif, else .bit with its sidecar."""
+    return tiff_cells(spark, path).unionByName(coverage_cells(spark, path))
+
+
 def elevation_cells(spark: SparkSession, path: str) -> DataFrame:
     """Every half-metre sample of all elevation tiles (*.abt) under a path."""
 

@@ -52,6 +52,8 @@ class Header:
     @property
     def dtype(self) -> np.dtype:
         bits, kind = self.one(258, 1), self.one(339, 1)
+        if bits == 1:
+            return np.dtype(np.uint8)
         letter = {1: "u", 2: "i", 3: "f"}.get(kind)
         if letter is None or bits not in (8, 16, 32, 64):
             raise TiffError(f"sample type {kind} with {bits} bits is not supported")
@@ -204,9 +206,24 @@ def undo_float_predictor(raw: bytes, width: int, height: int, size: int) -> np.n
     return np.ascontiguousarray(planes.reshape(height, size, width).transpose(0, 2, 1)).view(f">f{size}").reshape(height, width)
 
 
-def decode_chunk(raw: bytes, width: int, height: int, dtype: np.dtype, code: int, predictor: int) -> np.ndarray:
-    """One strip or tile as a height x width array in native byte order."""
+def coverage_bytes(cells: np.ndarray, scale: float = 1.0, offset: float = 0.0) -> np.ndarray:
+    """Samples as coverage bytes: bytes as they are, 16-bit ones clamped to 0..255 as signed, floats unscaled and clamped, ground at or below -5000 and NaN as 0."""
+    if cells.dtype.kind == "f":
+        code = (cells.astype(np.float32) - np.float32(offset)) / np.float32(scale)
+        return np.where(cells <= -5000, 0, np.clip(np.nan_to_num(code, nan=0.0), 0, 255)).astype(np.uint8)
+    if cells.dtype.itemsize == 2:
+        return np.clip(cells.view(np.int16), 0, 255).astype(np.uint8)
+    return cells.astype(np.uint8) if cells.dtype.itemsize == 1 else np.zeros(cells.shape, np.uint8)
+
+
+def decode_chunk(raw: bytes, width: int, height: int, dtype: np.dtype, code: int, predictor: int, bits: int = 0) -> np.ndarray:
+    """One strip or tile as a height x width array in native byte order; bits: 1 for packed cells, first in the highest bit, rows on whole bytes."""
     data = inflate(raw, code)
+    if bits == 1:
+        row = -(-width // 8)
+        if len(data) < row * height:
+            raise TiffError(f"chunk has {len(data)} of {row * height} bytes")
+        return np.unpackbits(np.frombuffer(data, np.uint8, row * height).reshape(height, row), axis=1)[:, :width]
     need = width * height * dtype.itemsize
     if len(data) < need:
         raise TiffError(f"chunk has {len(data)} of {need} bytes")
@@ -277,7 +294,7 @@ def read_window(data, h: Header, x: int, y: int, width: int, height: int) -> np.
             continue
         if offset + size > len(data):
             raise TiffError("truncated chunk")
-        chunk = decode_chunk(data[offset : offset + size], cw, ch, h.dtype, h.one(259, 1), h.one(317, 1))
+        chunk = decode_chunk(data[offset : offset + size], cw, ch, h.dtype, h.one(259, 1), h.one(317, 1), h.one(258, 1))
         out[y0 - y : y1 - y, x0 - x : x1 - x] = chunk[y0 - cy : y1 - cy, x0 - cx : x1 - cx]
     return out
 

@@ -279,3 +279,33 @@ def test_paths_meet_by_their_whole_name(spark, tmp_path):
     jobs.write_mosaic_files(got, str(tmp_path), 16)
     raw = (tmp_path / "max.tif").read_bytes()
     assert (tiff.read_window(raw, tiff.read_header(raw), 0, 0, 16, 16) == 9).all()
+
+
+def test_samples_become_coverage_bytes():
+    short = np.array([[-5, 0, 7, 300]], np.int16)
+    assert tiff.coverage_bytes(short).tolist() == [[0, 0, 7, 255]] and tiff.coverage_bytes(short.view(np.uint16)).tolist() == [[0, 0, 7, 255]]
+    real = np.array([[np.nan, -6000.0, -150.0, -100.25, 1e9]], np.float32)
+    assert tiff.coverage_bytes(real, 0.5, -150.0).tolist() == [[0, 0, 0, 99, 255]]
+
+
+def test_one_bit_tiles():
+    cells = np.random.default_rng(5).integers(0, 2, (9, 13)).astype(np.uint8)
+    assert (tiff.decode_chunk(np.packbits(cells, axis=1).tobytes(), 13, 9, np.dtype(np.uint8), 1, 1, 1) == cells).all()
+
+
+@pytest.mark.parametrize(("epsg", "west", "north"), [(32632, 8.0, 47.5), (2056, 8.2, 47.0), (3857, 10.0, 50.0), (32733, 15.5, -20.0)])
+def test_bounds_of_projected_sources(epsg, west, north):
+    from gridloom.functions.projections import forward
+    from gridloom.operators import projected
+
+    e, n = (float(v[0]) for v in forward(epsg)(np.array([west]), np.array([north])))
+    w, s, east, top = projected.bounds_in_degrees(e, n, 100.0, 300, 200, epsg)
+    x, y = forward(epsg)(np.array([w, east]), np.array([s, top]))
+    assert w <= west + 1e-6 and top >= north - 1e-6 and w > west - 0.1 and top < north + 0.1
+    assert abs((x[1] - x[0]) - 30_000) < 3_000 and abs((y[1] - y[0]) - 20_000) < 3_000
+
+
+def test_rasters_by_their_endings(spark, rasters):
+    at, grids = rasters
+    got = readers.raster_cells(spark, str(at)).where("error is null").groupBy(F.regexp_extract("path", "[^/]*$", 0).alias("name")).count().collect()
+    assert {r["name"]: r["count"] for r in got} == {k: np.count_nonzero(g) for k, g in grids.items()}
