@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._base import WORD, materialize, read_table, whole_text
+from ._base import WORD, discard, materialize, read_table, whole_text
 
 WEIGHTS = (5, 2, 1)  #: of the sources in order, repeating
 MOST = 3  #: copies of a document, and a source's target over its size
@@ -116,7 +116,7 @@ def mix_copies(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> D
     rows = rows.withColumn("rank", F.when((F.col("p") > 0) & (F.col("size") > 0), rank))
     spot = (F.log("rank") + 100) * COARSE
     rows = rows.withColumn("b1", F.floor(spot)).withColumn("b2", F.floor((spot - F.floor(spot)) * FINE))
-    rows = materialize(rows.drop("ratio", "lean", "mean_lean", "expected"), "ranked")
+    rows = ranked = materialize(rows.drop("ratio", "lean", "mean_lean", "expected"), "ranked")
 
     by_source = W.partitionBy("skey")
     # whole words that are open after the certain copies
@@ -144,6 +144,8 @@ def mix_copies(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST) -> D
     me = F.struct("rank", "doc_id", "size")
     drawn = F.col("rank").isNotNull() & (F.col("stop").isNull() | (me < F.col("stop")))
     rows = materialize(rows.withColumn("drawn", F.coalesce(drawn, F.lit(False))).drop("stop", "b1", "b2"), "drawn")
+    for table in (sized, facts, ranked, inner):
+        discard(table)
     # the last gap goes to the one document whose size comes nearest, if that is nearer than none
     gap = rows.groupBy("skey").agg((F.max("room") - F.sum(F.when(F.col("drawn"), F.col("size")).otherwise(0))).alias("gap"))
     rest = rows.where("rank is not null and not drawn").groupBy("skey", "rank", "doc_id", "size").agg(F.count(F.lit(1)).alias("n"))
