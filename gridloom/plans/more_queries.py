@@ -17,9 +17,9 @@ from . import views as V
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-STALL_LINES = 5  #: stalled tiles that a run lists, as in the reference
+STALL_LINES = 5  #: stalled tiles that a run lists, a fixed value
 STALL_S = 5.0  #: seconds without a byte from which a tile counts as stalled
-DEGRADED_LIST_CAP = 20_000  #: lines that a run lists before it only counts the rest, as in the reference
+DEGRADED_LIST_CAP = 20_000  #: lines that a run lists before it only counts the rest, a fixed value
 
 
 def query(sql: str | None = None):
