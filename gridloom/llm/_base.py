@@ -159,7 +159,7 @@ def even_keys(n: int) -> list[int]:
     return [int(k[f]) for f in first] if len(found) == n else list(range(n))
 
 
-HOT = 1000  #: rows up to which the rows of one key may meet in a task whatever their share
+HOT = 200  #: rows up to which the rows of one key may meet in a task whatever their share
 MANY = 4096  #: keys at most that hold more rows and are broadcast
 
 
@@ -176,18 +176,15 @@ def with_least(rows: DataFrame, key: str, value: str | Column, rows_in_all: int)
     return rest.unionByName(rows.join(hot, key))
 
 
-def tiled(df: DataFrame, keys: list[str], by: str, cap: int, sizes: DataFrame | None = None) -> DataFrame:
+def tiled(df: DataFrame, keys: list[str], by: str, cap: int) -> DataFrame:
     """Deals the members of each bucket to square tiles of about cap x cap members.
 
     A bucket of more than `cap` members becomes c = ceil(n / cap) chunks; the tile
     (i, j) with i <= j holds chunks i and j, so each pair of the bucket meets in
     exactly one tile and no task holds more than about 2 * cap members of a bucket.
-    Adds `tile` and `side` (0: chunk i, 1: chunk j). Buckets of one member go. sizes: the
-    members (_n) of each bucket, by a caller who knows them and a bound on the number of
-    buckets; they are broadcast.
+    Adds `tile` and `side` (0: chunk i, 1: chunk j). Buckets of one member go.
     """
-    counts = F.broadcast(sizes) if sizes is not None else df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.where("_n > 1")
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     parts = F.ceil(F.col("_n") / F.lit(cap)).cast("int")
     return (
         df.join(counts, keys)

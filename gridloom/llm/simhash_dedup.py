@@ -25,9 +25,8 @@ from .fingerprint import mixed
 
 SAMPLE = 65536  #: distinct fingerprints at most that the trees are fitted on
 DEPTH = 14  #: levels of a tree at most, so there are 2^14 shards of a block at most
-LEAF = 4096  #: fingerprints that a shard owns, about
-SHARD_TILE = 32768  #: fingerprints that a side of a tile of a shard holds, about
-WIDE_LEAF = 16384  #: the same for wide radii, where more shards would mean many more visits
+LEAF = 131072  #: fingerprints that a shard owns, about: few shards, as each level of a tree adds two fifths to the visits
+SHARD_TILE = 262144  #: owners, and visitors, that a tile of a shard holds at most, about
 VIEWS = 3  #: fingerprints of 64 bits that near copies are searched by
 EXACT_TILE = 1024  #: texts of one group that are compared at once, about half
 
@@ -156,42 +155,54 @@ def _block(values: np.ndarray, k: int, blocks: int) -> np.ndarray:
     return (values >> np.uint64(k * width)) & mask
 
 
-def _links(own: np.ndarray, at: np.ndarray, to: np.ndarray, block: np.ndarray, radius: int, within: int):
-    """Pairs (i, j) of positions in `own` (those in `at` against those in `to`) within radius; `within` bits in the block."""
+def _links(block: np.ndarray, at: np.ndarray, to: np.ndarray, within: int):
+    """Pairs (i, j), i in `at` and j in `to`, of blocks of any width that differ by at most `within` bits."""
     for left in range(0, len(to), 16384):
         b = to[left : left + 16384]
         for lo in range(0, len(at), 256):
             a = at[lo : lo + 256]
             i, j = np.nonzero(np.bitwise_count(block[a][:, None] ^ block[None, b]) <= within)
-            i, j = a[i], b[j]
-            keep = np.bitwise_count(own[i] ^ own[j]) <= radius
-            yield i[keep], j[keep]
+            yield a[i], b[j]
 
 
-def _meetings(owner: np.ndarray, side: np.ndarray):
-    """(at, to) positions whose pairs a tile compares: of each pair at least one owner; where there are two sides, pairs across them."""
-    if (side == side[0]).all():
-        yield np.flatnonzero(owner), np.arange(len(owner))
-    else:
-        yield np.flatnonzero(owner & (side == 0)), np.flatnonzero(side == 1)
-        yield np.flatnonzero(owner & (side == 1)), np.flatnonzero(~owner & (side == 0))
+def _probed(block: np.ndarray, at: np.ndarray, to: np.ndarray, within: int, most: int = 1 << 20):
+    """The same of 16-bit blocks, whose near values are listed and looked up; `most` pairs at a time."""
+    order = to[np.argsort(block[to], kind="stable")]
+    start = np.searchsorted(block[order], np.arange(65537))
+    masks = np.arange(65536)
+    for mask in masks[np.bitwise_count(masks) <= within]:
+        to_value = block[at].astype(np.int64) ^ mask
+        n = start[to_value + 1] - start[to_value]
+        who, k = np.flatnonzero(n), n[n > 0]
+        total = np.cumsum(k)
+        for lo in range(0, int(total[-1]) if len(k) else 0, most):
+            pair = np.arange(lo, min(lo + most, int(total[-1])))
+            g = np.searchsorted(total, pair, "right")
+            yield at[who[g]], order[start[to_value[who[g]]] + pair - total[g] + k[g]]
 
 
 def _in_tiles(rows: DataFrame, deal, kind: str, by: str, join) -> DataFrame:
-    """join() of every tile of every shard that deal() sends rows to.
+    """join() of every tile of every shard that deal() sends rows to; it gets `at` (owners) and `to` as flags of its rows.
 
-    The shards are numbered and bounded (2^DEPTH for each tree), so their sizes, from a
-    pass of their own over the rows, are broadcast.
+    A shard's owners are cut into d and its visitors, owners among them, into c chunks of
+    SHARD_TILE at most; tile (i, j) holds owners i and visitors j, so each owner meets
+    each visitor once. The shards are numbered and bounded (2^DEPTH for each tree), so
+    their sizes, from a pass of their own over the rows, are broadcast.
     """
 
     def count(batches):
         for pdf in deal(batches):
-            shard, n = np.unique(pdf["shard"].to_numpy(), return_counts=True)
-            yield pd.DataFrame({"shard": shard, "n": n})
+            shard, at, n = np.unique(pdf["shard"].to_numpy(), return_inverse=True, return_counts=True)
+            yield pd.DataFrame({"shard": shard, "n": n, "own": np.bincount(at, pdf["owner"].to_numpy(float), len(shard)).astype(np.int64)})
 
-    sizes = rows.mapInPandas(count, "shard long, n long").groupBy("shard").agg(F.sum("n").alias("_n"))
-    dealt = tiled(rows.mapInPandas(deal, kind), ["shard"], by, SHARD_TILE, materialize(sizes, "shards"))
-    return dealt.groupBy("shard", "tile").applyInPandas(join, "a long, b long")
+    parts = lambda c: F.greatest(F.ceil(F.sum(c) / F.lit(SHARD_TILE)), F.lit(1)).cast("int")
+    sizes = rows.mapInPandas(count, "shard long, n long, own long").groupBy("shard").agg(parts("n").alias("_c"), parts("own").alias("_d"))
+    dealt = rows.mapInPandas(deal, kind).join(F.broadcast(materialize(sizes, "shards")), "shard")
+    dealt = dealt.withColumns({"_j": F.expr(f"int(pmod(xxhash64({by}, 17L), _c))"), "_i": F.expr(f"int(pmod(xxhash64({by}, 19L), _d))")})
+    seats = F.expr("array_union(transform(sequence(0, _d - 1), i -> i * _c + _j), if(owner, transform(sequence(0, _c - 1), j -> _i * _c + j), array()))")
+    dealt = dealt.withColumn("tile", F.explode(F.when(F.col("_c") * F.col("_d") == 1, F.array(F.lit(0))).otherwise(seats)))
+    roles = {"at": F.col("owner") & (F.expr("tile div _c") == F.col("_i")), "to": F.col("tile") % F.col("_c") == F.col("_j")}
+    return dealt.withColumns(roles).drop("owner", "_c", "_d", "_i", "_j").groupBy("shard", "tile").applyInPandas(join, "a long, b long")
 
 
 def _trees(fps: DataFrame, n: int, col: str, within: int, blocks: int, leaf: int) -> list[VantageTree]:
@@ -226,9 +237,10 @@ def hamming_forest(fps: DataFrame, radius: int = 4, blocks: int = 4, leaf: int =
         own = pdf["fp"].to_numpy(np.int64).view(np.uint64)
         part = _block(own, int(pdf["shard"].iloc[0]) % blocks, blocks).astype(narrow)
         parent = np.arange(len(own))
-        for at, to in _meetings(pdf["owner"].to_numpy(bool), pdf["side"].to_numpy()):
-            for i, j in _links(own, at, to, part, radius, within):
-                union_pairs(parent, i, j)
+        at, to = (np.flatnonzero(pdf[c].to_numpy(bool)) for c in ("at", "to"))
+        for i, j in _probed(part, at, to, within) if blocks == 4 else _links(part, at, to, within):
+            near = np.bitwise_count(own[i] ^ own[j]) <= radius
+            union_pairs(parent, i[near], j[near])
         tied = np.flatnonzero(parent != np.arange(len(own)))
         return pd.DataFrame({"a": own[parent[tied]].view(np.int64), "b": own[tied].view(np.int64)})
 
@@ -257,23 +269,7 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4) -> Data
     return marked.join(materialize(named, "named"), "fp").select("doc_id", "fp", "component_id")
 
 
-def _probed(block: np.ndarray, at: np.ndarray, to: np.ndarray, within: int, most: int = 1 << 20):
-    """Pairs (i, j), i in `at` and j in `to`, of 16-bit blocks that differ by at most `within` bits, `most` pairs at a time."""
-    order = to[np.argsort(block[to], kind="stable")]
-    start = np.searchsorted(block[order], np.arange(65537))
-    masks = np.arange(65536)
-    for mask in masks[np.bitwise_count(masks) <= within]:
-        to = block[at].astype(np.int64) ^ mask
-        n = start[to + 1] - start[to]
-        who, k = np.flatnonzero(n), n[n > 0]
-        total = np.cumsum(k)
-        for lo in range(0, int(total[-1]) if len(k) else 0, most):
-            pair = np.arange(lo, min(lo + most, int(total[-1])))
-            g = np.searchsorted(total, pair, "right")
-            yield at[who[g]], order[start[to[who[g]]] + pair - total[g] + k[g]]
-
-
-def near_candidates(classes: DataFrame, within: int, most: int, leaf: int = WIDE_LEAF) -> DataFrame:
+def near_candidates(classes: DataFrame, within: int, most: int, leaf: int = LEAF) -> DataFrame:
     """Edges (a, b) of a forest that connects what links connect: any block of 16 bits of any view within `within` bits, and all views within `most` together.
 
     classes: id, unique, and the views v0, v1 and so on, none of them null. Each block of
@@ -298,10 +294,10 @@ def near_candidates(classes: DataFrame, within: int, most: int, leaf: int = WIDE
         k = int(pdf["shard"].iloc[0]) % kinds
         own = view[k // blocks]
         parent = np.arange(len(ids))
-        for at, to in _meetings(pdf["owner"].to_numpy(bool), pdf["side"].to_numpy()):
-            for i, j in _probed(_block(own, k % blocks, blocks), at, to, within):
-                near = sum(np.bitwise_count(v[i] ^ v[j]).astype(np.int64) for v in view) <= most
-                union_pairs(parent, i[near], j[near])
+        at, to = (np.flatnonzero(pdf[c].to_numpy(bool)) for c in ("at", "to"))
+        for i, j in _probed(_block(own, k % blocks, blocks), at, to, within):
+            near = sum(np.bitwise_count(v[i] ^ v[j]).astype(np.int64) for v in view) <= most
+            union_pairs(parent, i[near], j[near])
         tied = np.flatnonzero(parent != np.arange(len(ids)))
         return pd.DataFrame({"a": ids[parent[tied]], "b": ids[tied]})
 

@@ -402,14 +402,16 @@ def test_fingerprints_equal_plain_ones(spark, odd):
     assert simhash_dedup.simhash_components(odd).count() == len(ODD)
 
 
-def test_components_equal_brute_force(spark):
+@pytest.mark.parametrize("tile", [1 << 18, 12])
+def test_components_equal_brute_force(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash_dedup, "SHARD_TILE", tile)
     rng = np.random.default_rng(13)
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
     chain = [b ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, rng.integers(1, 9), replace=False))) for b in base for _ in range(9)]
     fps = np.unique(np.concatenate([base, np.array(chain, np.uint64)]))
     df = spark.createDataFrame([(int(f.astype(np.int64)),) for f in fps], "fp long")
     parent = np.arange(len(fps))
-    for r in simhash_dedup.hamming_forest(df, 4, leaf=16).collect():
+    for r in simhash_dedup.hamming_forest(df, 4, leaf=64).collect():
         i, j = (int(np.searchsorted(fps, np.int64(r[c]).astype(np.uint64))) for c in ("a", "b"))
         simhash_dedup.union_pairs(parent, np.array([i]), np.array([j]))
     want = np.arange(len(fps))

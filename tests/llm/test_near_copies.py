@@ -46,6 +46,7 @@ def test_copies_above_the_likeness_go_and_texts_below_it_stay(spark, pairs):
 
 def test_a_large_group_is_compared_in_tiles(spark, pairs, monkeypatch):
     monkeypatch.setattr(simhash_dedup, "EXACT_TILE", 16)
+    monkeypatch.setattr(simhash_dedup, "SHARD_TILE", 40)
     rng = random.Random(6)
     text = pairs[0][0]
     assert kept(spark, [text, *(changed(rng, text, 1) for _ in range(150)), pairs[1][0]]) == {0, 151}
