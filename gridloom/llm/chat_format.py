@@ -213,3 +213,15 @@ def op6_chat_format(spark, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return digests(format_chats(turns.unionByName(extra)))
+
+
+ORACLE_SQL = r"""
+WITH said AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL
+  SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))),
+t AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, turn, role AS r, text AS x, coalesce(role, '') AS role, coalesce(text, '') AS text FROM said),
+c AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, r NULLS FIRST, x NULLS FIRST) AS turns,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, x NULLS FIRST) FILTER (role = 'assistant'), '') AS loss,
+  sum(length('### ') + length(role) + length(regexp_replace(role, '[^\\#<:]', '', 'g')) + length(': ') + length(text) + length(regexp_replace(text, '[^\\#<]', '', 'g')) + length(' </turn>') + 1) AS chars
+  FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM c
+"""

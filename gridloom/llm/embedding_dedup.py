@@ -232,3 +232,15 @@ def embedding_components(vectors: DataFrame, threshold: float = 0.95, id_col: st
 def op5_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     """Query: (vec_id, n_links, component_id, kept) of every vector, linked at cosine 0.95 or more."""
     return embedding_components(read_table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs by their cosine in double precision, and what they reach.
+ORACLE_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+fine AS (SELECT * FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS size FROM fine),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_inner_product(a.e, b.e) / (a.size * b.size) >= 0.95),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT v.vec_id, coalesce(k.n_links, 0) AS n_links, m.component_id, v.vec_id = m.component_id AS kept FROM v
+JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) m ON m.a = v.vec_id LEFT JOIN (SELECT a, count(*) AS n_links FROM links GROUP BY a) k ON k.a = v.vec_id
+"""

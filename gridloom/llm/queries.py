@@ -25,4 +25,4 @@ QUERIES = {
     "pipeline": _pipeline,
 }
 
-ORACLE_SQL = {"op1_pareto_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL = {"op1_pareto_mixing": mixing.ORACLE_SQL, "op5_embedding_dedup": embedding_dedup.ORACLE_SQL, "op6_chat_format": chat_format.ORACLE_SQL}

@@ -65,6 +65,17 @@ def test_a_row_for_every_row(got, name):
     assert list(rows.columns)[: len(COLUMNS[name])] == COLUMNS[name] and len(rows) == n
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_rows_as_sql(got, name):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want, rows = con.sql(queries.ORACLE_SQL[name]).df(), got(name)
+    assert list(rows.columns) == list(want.columns)
+    key = [rows.columns[0]]
+    pd.testing.assert_frame_equal(rows.sort_values(key, ignore_index=True), want.sort_values(key, ignore_index=True), check_dtype=False)
+
+
 # 2
 
 
