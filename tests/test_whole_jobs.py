@@ -62,4 +62,4 @@ def test_all_ids_are_taken(spark, name):
     table, counted = WHOLE[name]
     got = catalog.QUERIES[name](spark, SF)
     n = got.select("id").distinct().count() if name == "window_chunks" else got.count()
-    assert n == con.sql(f"SELECT {counted} FROM {table}").fetchone()[0]
+    assert n == con.sql(f"SELECT {counted} FROM {table}").fetchall()[0][0]
