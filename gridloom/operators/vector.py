@@ -95,20 +95,22 @@ def roofs(cells: DataFrame, shapes: DataFrame, size: int, ground: str = "p10") -
     shapes: id, ring, rise and, where they have them, holes and `absolute`. An absolute
     roof is the rise itself; any other stands on the chosen ground statistic of the
     untouched samples under the footprint and is left out where it rises by nothing or
-    no sample is there. Roofs stay within 16 bits.
+    no sample is there. Roofs stay within 16 bits. Joins of shapes and footprints are
+    merges: estimates do not see the cells that a shape lists, and would broadcast them.
     """
     absolute = F.coalesce(F.col("absolute"), F.lit(False)) if "absolute" in shapes.columns else F.lit(False)
     seen = shapes.withColumn("absolute", absolute).where("absolute or rise > 0")
-    under = footprint_cells(seen.drop("rise", "absolute"), size).select("id", "x", "y").join(cells.select("x", "y", "v"), ["x", "y"])
-    level = terrain.ground_level(under, "id", ground)
-    on = seen.select("id", "rise", "absolute").join(level, "id", "left").where("absolute or ground is not null")
+    feet = footprint_cells(seen.drop("rise", "absolute"), size).select("id", "x", "y")
+    level = terrain.ground_level(feet.hint("merge").join(cells.select("x", "y", "v"), ["x", "y"]), "id", ground)
+    on = seen.select("id", "rise", "absolute").hint("merge").join(level, "id", "left").where("absolute or ground is not null")
     roof = F.when(F.col("absolute"), F.col("rise")).otherwise(F.greatest(F.least(F.col("ground") + F.col("rise"), F.lit(32767)), F.lit(-32768)))
     return on.select("id", "ground", roof.alias("roof"))
 
 
 def burn(cells: DataFrame, shapes: DataFrame, size: int, ground: str = "p10") -> DataFrame:
     """cells (x, y, v) with `burned`: the roofs of all shapes on frozen ground, the highest of each cell; see roofs()."""
-    top = footprint_cells(shapes, size).select("id", "x", "y").join(roofs(cells, shapes, size, ground), "id").groupBy("x", "y").agg(F.max("roof").alias("roof"))
+    feet = footprint_cells(shapes, size).select("id", "x", "y").hint("merge")
+    top = feet.join(roofs(cells, shapes, size, ground), "id").groupBy("x", "y").agg(F.max("roof").alias("roof"))
     return cells.join(top, ["x", "y"], "left").withColumn("burned", F.greatest("v", "roof")).drop("roof")
 
 
