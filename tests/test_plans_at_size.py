@@ -21,3 +21,14 @@ def test_footprints_and_shapes_are_not_broadcast(spark):
     assert joins and not [j for j in joins if j[1] == "id" and j[0] != "SortMergeJoin"]
     # the footprint meets the ground in a merge, too: neither side's estimate sees the listed cells
     assert ("SortMergeJoin", "x") in joins
+
+
+def test_surface_broadcasts_no_footprint_either(spark):
+    cells, shapes = burnt(spark)
+    point = "struct<px:double,py:double>"
+    woods = spark.createDataFrame([(1, [[(1.0, 1.0), (5.0, 1.0), (5.0, 6.0), (1.0, 6.0)]])], f"id long, rings array<array<{point}>>")
+    df = vector.surface(cells, shapes, woods, 8, 30, spark.createDataFrame([(2, 2)], "ox long, oy long"), 1)
+    got = {(r["x"], r["y"]): r["burned"] for r in df.collect()}
+    assert len(got) == 64 and got[4, 5] == 5 * 8 + 4 + 30 and got[7, 7] == 63
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [id#" not in plan and "SortMergeJoin [id#" in plan
