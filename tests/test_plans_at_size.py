@@ -3,6 +3,7 @@
 import re
 
 from gridloom.operators import vector
+from gridloom.plans import catalog
 
 
 def burnt(spark):
@@ -32,3 +33,11 @@ def test_surface_broadcasts_no_footprint_either(spark):
     assert len(got) == 64 and got[4, 5] == 5 * 8 + 4 + 30 and got[7, 7] == 63
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin [id#" not in plan and "SortMergeJoin [id#" in plan
+
+
+def test_all_cores_take_part_in_every_source_meeting_every_target(spark, tmp_path):
+    spark.range(3).selectExpr("id AS s_suppkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(500).selectExpr("id AS c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    got = catalog.QUERIES["cross_links"](spark, str(tmp_path))
+    sizes = got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert sum(sizes) == 1500 and sum(n > 0 for n in sizes) >= spark.sparkContext.defaultParallelism
