@@ -38,3 +38,40 @@ def test_quality_threshold_splits_all_labelled_rows(spark):
     # equal scores at the threshold fall on one side together
     near = (got["score"] - 0.3).abs().lt(1e-12).sum()
     assert abs((got["predicted"] == 0).sum() - (got["quality"] == 0).sum()) <= max(near, 8)
+
+
+def test_cut_over_rows_is_the_best_of_all(spark):
+    rng = np.random.default_rng(9)
+    y = (rng.random(6000) < 0.2).astype(float)
+    z, n = np.round(rng.normal(0, 1, 6000) + 1.5 * y, 3), rng.integers(1, 4, 6000).astype(float)
+    rows = spark.createDataFrame([tuple(map(float, r)) for r in zip(z, y * n, n)], "z double, hit double, n double").repartition(3)
+    cut, want = toxicity.best_cut_rows(rows), toxicity.best_cut(z, y, n)
+    f1 = lambda c: 2 * (y * n)[z > c].sum() / (n[z > c].sum() + (y * n).sum())
+    assert f1(cut) == f1(want)
+
+
+def test_logistic_over_rows_is_the_same_fit(spark):
+    rng = np.random.default_rng(4)
+    y = (rng.random(700) < 0.3).astype(int)
+    x = rng.normal(0, 2, (700, toxicity.EVIDENCE)) + y[:, None]
+    rows = spark.createDataFrame([([float(v) for v in r], int(k)) for r, k in zip(x, y)], "e array<double>, toxic int").repartition(3)
+    assert np.allclose(toxicity.fit_logistic_rows(rows), toxicity.fit_logistic(x, y.astype(float)), atol=1e-5)
+
+
+def test_all_labelled_texts_are_counted(spark, monkeypatch):
+    """More rows of a label than were once learnt from at most."""
+    n, seen = 16_000, []
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('a', id, ' b', id, ' c', id) AS text")
+    labels = spark.range(n).selectExpr("id AS doc_id", "int(id % 400 = 0) AS toxic")
+
+    def build(counts):
+        seen.append(counts.where("level = 0").agg({c: "sum" for c in toxicity.COUNTS}).first())
+        raise InterruptedError
+
+    monkeypatch.setattr(toxicity, "build", build)
+    try:
+        toxicity.learn(docs, labels, folds=11)
+    except InterruptedError:
+        pass
+    kept = labels.where("crc32(string(doc_id)) % 11 <> 1").count()
+    assert kept > 12_000 and sum(seen[0]) == 3 * kept
