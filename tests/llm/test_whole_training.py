@@ -1,5 +1,6 @@
 """Training reads every labelled row: weights, thresholds and counts do not come from a sample."""
 
+import corpus_pipeline
 import numpy as np
 import pytest
 
@@ -75,3 +76,20 @@ def test_all_labelled_texts_are_counted(spark, monkeypatch):
         pass
     kept = labels.where("crc32(string(doc_id)) % 11 <> 1").count()
     assert kept > 12_000 and sum(seen[0]) == 3 * kept
+
+
+def test_pipeline_counts_all_labelled_texts(spark, monkeypatch, tmp_path):
+    n, seen = 16_000, []
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('a', id, ' b', id) AS text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    spark.range(n).selectExpr("id AS doc_id", "int(id % 400 = 0) AS toxic").write.parquet(f"{tmp_path}/labels.parquet")
+
+    def build(counts):
+        seen.append(counts.where("level = 0").agg({c: "sum" for c in toxicity.COUNTS}).first())
+        raise InterruptedError
+
+    monkeypatch.setattr(toxicity, "build", build)
+    try:
+        corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    except InterruptedError:
+        pass
+    assert sum(seen[0]) == 2 * docs.where("crc32(string(doc_id)) % 3 <> 1").count() > 20_000
