@@ -182,14 +182,15 @@ def burn_forest(cells: DataFrame, cover: DataFrame, height: int, observers: Data
     """cells with `burned`: tree tops on covered, valid ground away from observers.
 
     cover: x, y and alpha (0..1). Cells within `radius` (larger of dx, dy) of an observer
-    stay free; observers list their neighbourhoods, so this is an anti-join.
+    stay free; observers list their neighbourhoods, so this is an anti-join. Covered cells
+    meet the ground in a merge: estimates see the features only, and would broadcast them.
     """
     around = F.sequence(F.lit(-radius), F.lit(radius))
     near = observers.select(F.explode(F.transform(around, lambda d: F.col("ox") + d)).alias("x"), "oy").select("x", F.explode(F.transform(around, lambda d: F.col("oy") + d)).alias("y")).distinct()
     best = cover.groupBy("x", "y").agg(F.max("alpha").alias("alpha")).join(near, ["x", "y"], "left_anti")
     top = F.col("v") + F.round(F.lit(height) * F.col("alpha")).cast("int")
     lifted = F.when((F.col("v") > FLOOR) & F.col("alpha").isNotNull(), F.greatest(F.col("v"), top)).otherwise(F.col("v"))
-    return cells.join(best, ["x", "y"], "left").withColumn("burned", lifted).drop("alpha")
+    return cells.join(best.hint("merge"), ["x", "y"], "left").withColumn("burned", lifted).drop("alpha")
 
 
 def height_statistics(buildings: DataFrame, *group: str) -> DataFrame:

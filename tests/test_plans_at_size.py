@@ -35,6 +35,21 @@ def test_surface_broadcasts_no_footprint_either(spark):
     assert "BroadcastHashJoin [id#" not in plan and "SortMergeJoin [id#" in plan
 
 
+def test_covered_cells_are_not_broadcast(spark, tmp_path):
+    """A feature of a few bytes lists any number of cells, which the planner does not see."""
+    point = "struct<px:double,py:double>"
+    woods = spark.createDataFrame([(1, [[(0.0, 0.0), (60.0, 0.0), (60.0, 60.0), (0.0, 60.0)]])], f"id long, rings array<array<{point}>>")
+    woods.write.parquet(f"{tmp_path}/woods.parquet")
+    woods = spark.read.parquet(f"{tmp_path}/woods.parquet")
+    cells = spark.range(4096).selectExpr("id % 64 AS x", "id div 64 AS y", "1 AS v")
+    none = spark.createDataFrame([], f"id long, ring array<{point}>, rise int")
+    df = vector.surface(cells, none, woods, 64, 30, spark.createDataFrame([(2, 2)], "ox long, oy long"), 1)
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    left = re.findall(r"(BroadcastHashJoin|ShuffledHashJoin|SortMergeJoin) \[x#.*LeftOuter", plan)
+    assert left and set(left) == {"SortMergeJoin"}
+    assert sum(r["burned"] == 31 for r in df.collect()) == 60 * 60 - 9
+
+
 def test_all_cores_take_part_in_every_source_meeting_every_target(spark, tmp_path):
     spark.range(3).selectExpr("id AS s_suppkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
     spark.range(500).selectExpr("id AS c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
