@@ -39,7 +39,7 @@ TOP = 5  #: words whose ratios are also averaged, the highest of the text
 PARTS = 4  #: parts of the labelled rows; each is left out of the model that its rows are fitted by
 AT_ONCE = 100_000  #: words that a task counts before it hands them on
 PAIRS_AT_ONCE = 500_000  #: the same for pairs of words
-MARKS = 4  #: least hashes that near copies have in common
+MARKS = 4  #: least hashes that near copies mostly have in common
 
 EVIDENCE = 2 + len(WINDOWS)
 
@@ -76,9 +76,13 @@ class Model:
                 out = np.where(known, llr[part][at], out)
         return out
 
-    def evidence(self, text: str | None, part: int = -1) -> list[float]:
-        """Mean ratio of the whole text, the highest mean of a window of each length, the mean of the TOP highest ratios; zeros without words."""
-        llr = self.ratios(tokens(text), part)
+    def evidence(self, text: str | None, part: int | None = -1) -> list[float]:
+        """Mean ratio of the whole text, the highest mean of a window of each length, the mean of the TOP highest ratios; zeros without words.
+
+        By the model without `part`; None: without the text's own part.
+        """
+        levels = tokens(text)
+        llr = self.ratios(levels, part_of(levels[-1]) if part is None else part)
         n = len(llr)
         if not n:
             return [0.0] * EVIDENCE
@@ -96,16 +100,26 @@ def _find(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == values
 
 
+def part_of(words: np.ndarray) -> int:
+    """The part of a text of these words: one and the same for texts whose MARKS least hashes, each by another mixing, of word pairs agree."""
+    h, mark = mixed(words[:-1] * SPREAD + words[1:]) if len(words) > 1 else words, np.zeros(1, np.uint64)
+    for _ in range(MARKS if len(words) else 0):
+        mark = mixed(mark * SPREAD + h.min())
+        h = mixed(h)
+    return int(mark[0] % np.uint64(PARTS))
+
+
 COUNTS = [f"{c}{k}" for c in ("ordinary", "toxic") for k in range(PARTS)]
 
 
 def count_expressions(docs: DataFrame) -> DataFrame:
     """(level, key, a, ordinary0.., toxic0..): occurrences of stems and words by class and part of the rows.
 
-    docs: text, toxic (0 or 1) and part. a: the next shorter stem. Rows of level LEVELS
-    have a word as key and, in a, the distinct words before it (the first word of a text
-    has none before it, which counts as one). Pairs of words travel without counts, in a
-    pass of their own, and once for each task.
+    docs: text, toxic (0 or 1) and, where it is not that of part_of, part; every row
+    counts, copies of others, too. a: the next shorter stem. Rows of level LEVELS have a
+    word as key and, in a, the distinct words before it (the first word of a text has
+    none before it, which counts as one). Pairs of words travel without counts, in a pass
+    of their own, and once for each task.
     """
 
     def counted(seen: dict) -> pd.DataFrame:
@@ -121,12 +135,12 @@ def count_expressions(docs: DataFrame) -> DataFrame:
     def run(batches):
         seen, words = {}, 0
         for pdf in batches:
-            for text, toxic, part in zip(pdf["text"], pdf["toxic"], pdf["part"], strict=True):
+            for text, toxic, part in zip(pdf["text"], pdf["toxic"], pdf["part"] if given else [None] * len(pdf), strict=True):
                 levels = tokens(text)
                 w = levels[-1]
                 if not len(w):
                     continue
-                column = int(toxic) * PARTS + int(part)
+                column = int(toxic) * PARTS + (int(part) if given else part_of(w))
                 for level, key in enumerate(levels):
                     seen.setdefault((level, column), []).append((key, levels[max(level - 1, 0)]))
                 words += len(w)
@@ -136,8 +150,9 @@ def count_expressions(docs: DataFrame) -> DataFrame:
         if seen:
             yield counted(seen)
 
+    given = "part" in docs.columns
     kind = "level int, key long, a long, " + ", ".join(f"{c} int" for c in COUNTS)
-    rows = docs.select("text", "toxic", "part").mapInPandas(run, kind)
+    rows = docs.select("text", "toxic", *["part"] * given).mapInPandas(run, kind)
     rows = rows.groupBy("level", "key").agg(F.first("a").alias("a"), *(F.sum(c).alias(c) for c in COUNTS))
     before = docs.select("text").mapInPandas(neighbours, "key long, a long").distinct().groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     return rows.unionByName(before.select(F.lit(LEVELS).alias("level"), F.col("a").alias("key"), F.col("n").alias("a"), *(F.lit(0).cast("long").alias(c) for c in COUNTS)))
@@ -201,10 +216,11 @@ def listed_expressions(counts: DataFrame) -> tuple[list[pd.DataFrame], float, np
     for level in range(LEVELS - 1, -1, -1):
         one = materialize(counts.where(F.col("level") == level).join(cont, "key"), "toxic-level")
         used.append(one)
-        pdf = one.where(most > DISCOUNT).select("key", "a", "cont", *COUNTS).toPandas()
-        key = pdf["key"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(key)
-        listed[level] = pdf.iloc[order].assign(key=key[order], a=pdf["a"].to_numpy(np.int64).view(np.uint64)[order]).reset_index(drop=True)
+        found = one.where(most > DISCOUNT).select("key", "a", "cont", *COUNTS).toArrow()  # no Python object for each number
+        found = {c: found[c].to_numpy() for c in found.column_names}
+        found |= {c: found[c].view(np.uint64) for c in ("key", "a")}
+        order = np.argsort(found["key"])
+        listed[level] = pd.DataFrame({c: v[order] for c, v in found.items()})
         if level:
             cont = one.groupBy(F.col("a").alias("key")).agg(F.sum("cont").alias("cont"))
         else:
@@ -272,31 +288,23 @@ def best_cut(z: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) ->
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1):
     """(model, weights, cut) from all labelled rows outside the held-out fold.
 
-    Rows of one label whose MARKS least hashes of word pairs agree, which near copies'
-    mostly do and other texts' do not, share a text: it is counted once, and stands for
-    all of them in the cut. Texts are read anew by each pass, so only ids, counts
-    and evidence are written.
+    Each row counts as it stands, in the counts, the fit and the cut, also copies and
+    near copies of others; as near copies mostly share a part, the evidence that the fit
+    sees comes from models that have counted neither. Texts are read anew by each pass,
+    so only ids, counts and evidence are written.
     """
     rows = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = materialize(rows.where(F.crc32(F.col("doc_id").cast("string")) % folds != held).where("toxic in (0, 1)"), "toxic-labels")
-    few = rows.count() <= FEW
-    near = lambda ids: F.broadcast(ids) if few else ids
-    texts = docs.select("doc_id", "text")
-    marked = texts.join(near(rows), "doc_id").select("doc_id", "toxic", F.xxhash64(_least_pairs()("text")).alias("mark"), F.xxhash64("text").alias("same"))
-    marked = materialize(marked, "toxic-marks")
-    one = marked.groupBy("mark", "toxic").agg(F.min(F.struct("doc_id", "same")).alias("one"), F.count(F.lit(1)).alias("stands"))
-    one = materialize(one.select("one.doc_id", "toxic", F.pmod("mark", F.lit(PARTS)).cast("int").alias("part"), "stands"), "toxic-ones")
-    sample = texts.join(near(one), "doc_id")
-    counts = materialize(count_expressions(sample), "toxic-counts")
+    labelled = docs.select("doc_id", "text").join(F.broadcast(rows) if rows.count() <= FEW else rows, "doc_id").select("text", "toxic")
+    counts = materialize(count_expressions(labelled), "toxic-counts")
     model = build(counts)
-    e = materialize(sample.select("toxic", "stands", _evidence(model, True)("text", "part").alias("e")), "toxic-evidence")
+    e = materialize(labelled.select("toxic", _evidence(model, None)("text").alias("e")), "toxic-evidence")
     w = fit_logistic_rows(e)
     z = F.lit(float(w[-1]))
     for k in range(EVIDENCE):
         z = z + F.element_at("e", k + 1) * float(w[k])
-    y, weight = F.col("toxic").cast("double"), F.col("stands").cast("double")
-    cut = best_cut_rows(e.select(z.alias("z"), (y * weight).alias("hit"), weight.alias("n")))
-    for table in (rows, marked, one, counts, e):
+    cut = best_cut_rows(e.select(z.alias("z"), F.col("toxic").cast("double").alias("hit"), F.lit(1.0).alias("n")))
+    for table in (rows, counts, e):
         discard(table)
     return model, w, cut
 
@@ -375,16 +383,6 @@ def best_cut_rows(rows: DataFrame) -> float:
     return float((best[1] + (best[1] - 1 if low is None else low)) / 2)
 
 
-def least_pairs(text: str | None) -> list[int]:
-    """The MARKS least hashes, each by another mixing, of a text's word pairs, or of its words if it has fewer than two; zeros without words."""
-    w = tokens(text)[-1]
-    h, out = mixed(w[:-1] * SPREAD + w[1:]) if len(w) > 1 else w, []
-    for _ in range(MARKS):
-        out.append(int(h.min().view(np.int64)) if len(h) else 0)
-        h = mixed(h)
-    return out
-
-
 def _by_text(fn, kind: str, arrow: pa.DataType):
     """fn as a column function of a text. Texts become Python strings one at a time, so a batch costs its Arrow buffers only."""
 
@@ -395,21 +393,12 @@ def _by_text(fn, kind: str, arrow: pa.DataType):
     return F.arrow_udf(run, kind)
 
 
-def _least_pairs():
-    return _by_text(least_pairs, "array<long>", pa.list_(pa.int64()))
-
-
-def _evidence(model: Model, left_out: bool = False):
-    """The evidence of a text as a column function; with left_out of a text and its part, by the model without that part."""
-    if not left_out:
-        slim = Model(model.keys, [x[-1:] for x in model.llr], model.rest[-1:])
-        return _by_text(slim.evidence, "array<double>", pa.list_(pa.float64()))
-
-    def run(texts: pa.Array, parts: pa.Array) -> pa.Array:
-        return pa.array([model.evidence(t.as_py(), p.as_py()) for t, p in zip(texts, parts, strict=True)], pa.list_(pa.float64()))
-
-    run.__annotations__ = {"texts": pa.Array, "parts": pa.Array, "return": pa.Array}
-    return F.arrow_udf(run, "array<double>")
+def _evidence(model: Model, part: int | None = -1):
+    """The evidence of a text as a column function, by the model without the part; None: without the text's own part."""
+    if part is not None:
+        model = Model(model.keys, [x[[part]] for x in model.llr], model.rest[[part]])
+        part = 0
+    return _by_text(lambda text: model.evidence(text, part), "array<double>", pa.list_(pa.float64()))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, cut: float = 0.7, keep: tuple = ()) -> DataFrame:

@@ -93,3 +93,63 @@ def test_pipeline_counts_all_labelled_texts(spark, monkeypatch, tmp_path):
     except InterruptedError:
         pass
     assert sum(seen[0]) == 2 * docs.where("crc32(string(doc_id)) % 3 <> 1").count() > 20_000
+
+
+def copies(spark, n):
+    """n rows of a few texts and their near copies, each of more words than near copies differ by."""
+    long = "concat_ws(' ', transform(sequence(1, 300), k -> concat('w', k * (1 + id % 3))))"
+    return spark.range(n).selectExpr("id AS doc_id", f"concat({long}, ' end', id % 10) AS text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+
+
+def test_near_copies_are_counted_row_by_row(spark, monkeypatch, tmp_path):
+    n, seen = 60, []
+    docs = copies(spark, n)
+    labels = spark.range(n).selectExpr("id AS doc_id", "int(id % 3 = 0) AS toxic")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+
+    def build(counts):
+        seen.append(counts.where("level = 0").agg({c: "sum" for c in toxicity.COUNTS}).first())
+        raise InterruptedError
+
+    monkeypatch.setattr(toxicity, "build", build)
+    for run in (lambda: toxicity.learn(docs, labels), lambda: corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))):
+        with pytest.raises(InterruptedError):
+            run()
+    kept = docs.where("crc32(string(doc_id)) % 3 <> 1").count()
+    assert kept > 30 and [sum(s) for s in seen] == [301 * kept] * 2
+
+
+def test_fit_and_cut_see_every_near_copy(spark, monkeypatch):
+    seen = []
+    real = toxicity.best_cut_rows
+
+    def cut(rows):
+        seen.extend(rows.agg({"n": "sum", "*": "count"}).first())
+        return real(rows)
+
+    monkeypatch.setattr(toxicity, "best_cut_rows", cut)
+    docs = copies(spark, 60)
+    toxicity.learn(docs, spark.range(60).selectExpr("id AS doc_id", "int(id % 3 = 0) AS toxic"))
+    kept = docs.where("crc32(string(doc_id)) % 3 <> 1").count()
+    assert seen == [kept, kept]
+
+
+def test_a_text_and_its_near_copy_share_a_part():
+    words = [f"w{k}" for k in range(2000)]
+    part = lambda w: toxicity.part_of(toxicity.tokens(" ".join(w))[-1])
+    assert part(words) == part([*words, "x"]) and {part([f"{k}-{j}" for j in range(5)]) for k in range(99)} == set(range(toxicity.PARTS))
+    assert part([]) == part([]) and part(["a"]) in range(toxicity.PARTS)
+
+
+def test_listed_expressions_come_without_python_rows(spark, monkeypatch):
+    """A Python object for each number of the models' tables took the driver's memory."""
+    docs = spark.range(50).selectExpr("concat('a b c', id % 5) AS text", "int(id % 2) AS toxic")
+    counts = materialize(toxicity.count_expressions(docs), "test-listed")
+
+    def rows(self):
+        raise AssertionError("rows of the models came as Python objects")
+
+    monkeypatch.setattr(type(counts), "toPandas", rows)
+    listed, _, words = toxicity.listed_expressions(counts)
+    assert words.sum() == 150 and len(listed[-1]) == 7
+    assert all((np.diff(t["key"].to_numpy().astype(float)) > 0).all() for t in listed)
