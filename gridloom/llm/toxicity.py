@@ -310,7 +310,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1):
 
 
 def _sums(rows: DataFrame, of, shape: tuple) -> np.ndarray:
-    """The sum over all rows of arrays that `of` makes of the evidence and the labels of a batch; a task hands on one array."""
+    """The sum over all rows of arrays that `of` makes of the evidence and the labels of a batch; a task hands on one array, and all of them come in one job."""
 
     def run(batches):
         total = np.zeros(shape)
@@ -320,7 +320,7 @@ def _sums(rows: DataFrame, of, shape: tuple) -> np.ndarray:
         yield pd.DataFrame({"total": [total.tobytes()]})
 
     total = np.zeros(shape)
-    for r in rows.select("e", "toxic").mapInPandas(run, "total binary").toLocalIterator():
+    for r in rows.select("e", "toxic").mapInPandas(run, "total binary").collect():
         total += np.frombuffer(r["total"]).reshape(shape)
     return total
 
