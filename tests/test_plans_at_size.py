@@ -2,7 +2,9 @@
 
 import re
 
-from gridloom.operators import vector
+from pyspark.sql import functions as F
+
+from gridloom.operators import runs, vector
 from gridloom.plans import catalog
 
 
@@ -50,6 +52,26 @@ def test_covered_cells_are_not_broadcast(spark, tmp_path):
     assert sum(r["burned"] == 31 for r in df.collect()) == 60 * 60 - 9
 
 
+def test_every_source_with_every_target_takes_little_disk(spark, tmp_path):
+    spark.range(2000).selectExpr("id AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    far = spark.range(2100).selectExpr("IF(id % 1000 = 7, NULL, id - id % 2) AS c_custkey")
+    far.write.parquet(f"{tmp_path}/customer.parquet")
+    catalog.QUERIES["cross_links"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    size = sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet"))
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.columns == ["s_suppkey", "c_custkey"] and dict(got.dtypes) == {"s_suppkey": "bigint", "c_custkey": "bigint"}
+    # every key as often as it should be, nulls and repeated keys too, with sources that are all different
+    met = {r["c_custkey"]: (r["n"], r["s"]) for r in got.groupBy("c_custkey").agg(F.count("*").alias("n"), F.count_distinct("s_suppkey").alias("s")).collect()}
+    assert met == {r["c_custkey"]: (r["count"] * 2000, 2000) for r in far.groupBy("c_custkey").count().collect()}
+    assert size < 0.25 * 2000 * 2100
+
+
+def test_pairs_of_a_share_are_not_kept_by_a_loop_over_a_broadcast(spark):
+    df = runs.every_link(spark.range(5).toDF("s"), spark.range(9).toDF("t"), 4)
+    assert "CartesianProduct" in df._jdf.queryExecution().executedPlan().toString() and df.rdd.getNumPartitions() >= 4 and df.distinct().count() == 45
+    assert runs.every_link(spark.range(5).toDF("s"), spark.range(0).toDF("t"), 4).count() == 0
+
+
 def test_all_cores_take_part_in_every_source_meeting_every_target(spark, tmp_path):
     spark.range(3).selectExpr("id AS s_suppkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
     spark.range(500).selectExpr("id AS c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
